@@ -9,10 +9,12 @@ similarity, with the concentration of independent minima (Dahlgaard, Knudsen and
 ``t = bands * rows`` bins are cut into bands. Documents with equal sets form one class; class
 representatives that share a band meet in its bucket, and links are confirmed on the full sets.
 
-Buckets never emit all their pairs: each one first compares its members with one leader. Where
-members of a bucket are still in different components, it does so again with other leaders, and only
-what is then left in different components is compared pair by pair. So a pair that shares a bucket
-is either compared on full sets or already connected by confirmed links.
+Buckets never emit all their pairs: each one first compares its members with one leader, and where
+members are then still in different components, with another. What is left in different components is
+compared in blocks of ``SIDE`` members: there the sketches' agreement must come within ``SIGMAS``
+standard deviations of the threshold (a miss has the chance of such a deviation), and pairs that do
+are confirmed on full sets. Buckets of up to ``FEW`` members skip the blocks. So a pair that shares a
+bucket is compared, or already connected by confirmed links.
 
 Edge cases: null, empty or blank texts have an empty set and are linked with nothing; rows with one
 id are one vertex; rows whose id is null are linked with nothing and get a null component.
@@ -23,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +38,8 @@ _LOW = np.uint64(0xFFFFFFFF)
 #: Documents that are sketched together.
 BLOCK = 256
 #: Rounds with one leader a bucket, before the pairs that are left.
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 1
+FEW, SIDE, SIGMAS = 12, 4096, 4.0
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -88,10 +92,11 @@ def _signatures(shingle: int, bands: int, rows: int):
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 one = np.array([mix64(s).sum() if len(s) else 0 for s in sets], dtype=np.uint64)
                 two = np.array([mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum() if len(s) else 0 for s in sets], dtype=np.uint64)
-                keys = band_keys(sketches(sets, bands * rows), bands, rows)
+                sk = sketches(sets, bands * rows)
+                keys, low = band_keys(sk, bands, rows), (sk & np.uint64(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, BLOCK), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))],
-                    names=["id", "n", "h1", "h2", "bands"],
+                    [ids.slice(at, BLOCK), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1))), pa.array([r.tobytes() for r in low], pa.binary())],
+                    names=["id", "n", "h1", "h2", "bands", "sketch"],
                 )
 
     return run
@@ -118,6 +123,32 @@ def _confirm(shingle: int, percent: int):
     return run
 
 
+def _close(percent: int, t: int):
+    """Pairs of different components in one block pair of a bucket whose sketches agree closely enough."""
+    j = percent / 100
+    least = t * (j - SIGMAS * (j * (1 - j) / t) ** 0.5)
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        node, n, c = (block[x].to_numpy() for x in ("node", "n", "c"))
+        sk = np.frombuffer(b"".join(block["sketch"]), dtype=np.uint8).reshape(len(block), t)
+        i, k = int(block["i"].iloc[0]), int(block["j"].iloc[0])
+        right = np.flatnonzero(block["b"].to_numpy() == k)
+        names, counts = np.unique(c, return_counts=True)
+        rest = np.flatnonzero(c != names[counts.argmax()])  # of each pair, one is outside the largest component
+        a, b = [], []
+        for x in np.flatnonzero(block["b"].to_numpy() == i):
+            other = right if np.isin(x, rest) else np.intersect1d(right, rest)
+            other = other[(c[other] != c[x]) & (100 * np.minimum(n[other], n[x]) >= percent * np.maximum(n[other], n[x]))]
+            if i == k:
+                other = other[node[other] > node[x]]
+            hit = other[(sk[other] == sk[x]).sum(axis=1) >= least] if len(other) else other
+            a.append(np.maximum(node[hit], node[x]))
+            b.append(np.minimum(node[hit], node[x]))
+        return pd.DataFrame({"a": np.concatenate([np.empty(0, np.int64), *a]), "b": np.concatenate([np.empty(0, np.int64), *b])})
+
+    return run
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for the nodes of ``edges`` (alternating large and small stars)."""
     e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
@@ -141,7 +172,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row for each row of ``docs``: id, n_shingles, component_id (smallest id reachable over links of ``percent`` or more)."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = materialize(src.mapInArrow(_signatures(shingle, bands, rows), "id long, n long, h1 long, h2 long, bands array<long>"), "sig")
+    sig = materialize(src.mapInArrow(_signatures(shingle, bands, rows), "id long, n long, h1 long, h2 long, bands array<long>, sketch binary"), "sig")
     linkable = sig.where("n > 0 and id is not null")
     reps = linkable.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "bands")).alias("m")).select(F.col("m.id").alias("node"), "n", F.col("m.bands").alias("bands"))
     key = Window.partitionBy("key")
@@ -161,30 +192,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = materialize(connected(links), "components")
     apart = buckets.select("key", "node", "n")
     for step in range(LEADER_ROUNDS + 1):
-        named = apart.join(comp, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+        named = apart.select("key", "node", "n").join(comp, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
         apart = materialize(named.withColumn("lo", F.min("c").over(key)).withColumn("hi", F.max("c").over(key)).where("lo != hi").select("key", "node", "n", "c"), "apart")
-        sizes = apart.groupBy("key").agg(F.count(F.lit(1)).alias("k")).agg(F.sum("k").alias("rows"), F.sum(F.expr("k * (k - 1) div 2")).alias("pairs")).first()
-        if not sizes["rows"]:
+        if apart.isEmpty():
             break
-        if step < LEADER_ROUNDS and sizes["pairs"] > 4 * sizes["rows"]:
+        last = step == LEADER_ROUNDS
+        if not last:
             lead = F.min(F.struct(F.xxhash64(F.lit(step), "key", "node").alias("r"), "node", "n", "c")).over(key)
             pairs = apart.withColumn("l", lead).select("node", "n", "c", F.col("l.node").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.c").alias("lead_c")).where("c != lead_c").where(sized).select(F.col("node").alias("a"), F.col("lead").alias("b"))
-            last = False
         else:
-            other = apart.select("key", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("c").alias("lead_c"))
-            pairs = apart.join(other, "key").where("node > lead and c != lead_c").where(sized).select(F.col("node").alias("a"), F.col("lead").alias("b"))
-            last = True
+            many = apart.withColumn("k", F.count(F.lit(1)).over(key))
+            few = many.where(F.col("k") <= FEW)
+            other = few.select("key", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("c").alias("lead_c"))
+            pairs = few.join(other, "key").where("node > lead and c != lead_c").where(sized).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+            many = many.where(F.col("k") > FEW).withColumn("nb", F.ceil(F.col("k") / SIDE)).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")))
+            known = linkable.select(F.col("id").alias("node"), "n", "sketch").dropDuplicates(["node", "n"])
+            blocks = many.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "node", "n", "c", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).join(known, ["node", "n"])
+            near = blocks.groupBy("key", "i", "j").applyInPandas(_close(percent, bands * rows), "a long, b long")
+            pairs = pairs.unionByName(near)
         more = confirmed(pairs)
-        links = links.unionByName(more)
         if more.isEmpty():
-            if last:
-                break
             continue
         star = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
         comp = materialize(connected(star.unionByName(more)), "components")
-        if last:
-            break
-        apart = apart.select("key", "node", "n")
     classes = linkable.groupBy("h1", "h2", "n").agg(F.min("id").alias("node")).join(comp, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
     return sig.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id")

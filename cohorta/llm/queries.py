@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contaminated
 from .minhash import near_duplicates
+from .mixing import SEED, mix
+from .pii import pseudonymize
+from .quality import quality
+from .toxicity import toxicity
+
+#: Target shares of the mixture; other sources share the rest by their rows.
+WEIGHTS = {"src0": 0.08, "src1": 0.10, "src2": 0.08, "src3": 0.06, "src4": 0.05}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,5 +49,64 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, w.doc_i
 FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.doc_id = w.doc_id
 """
 
-QUERIES = {"op1_minhash_dedup": op1_minhash_dedup}
-ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL}
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All copies of ``documents`` mixed to the target shares."""
+    return mix(table(spark, sf_dir, "documents"), WEIGHTS).drop("mix_order")
+
+
+OP2_SQL = f"""
+WITH w(source, share) AS (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in WEIGHTS.items())}),
+n AS (SELECT d.source, share, count(*) AS n FROM documents d LEFT JOIN w USING (source) GROUP BY ALL),
+t AS (SELECT sum(n) AS total, sum(n) FILTER (share IS NULL) AS rest, sum(share) AS given FROM n),
+r AS (
+  SELECT source, coalesce(share, (1 - {sum(WEIGHTS.values())!r}::DOUBLE) * n / rest) / (given + 1 - {sum(WEIGHTS.values())!r}::DOUBLE) * total / n AS rate FROM n, t
+), u AS (
+  SELECT d.*, rate, ('0x' || substr(md5('{SEED}:' || doc_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents d JOIN r USING (source)
+), q AS (
+  SELECT rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY rate ORDER BY k) AS cdf FROM (SELECT DISTINCT rate FROM r), range(0, 80) AS g(k)
+), c AS (
+  SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, (SELECT min(k) FROM q WHERE q.rate = u.rate AND q.cdf >= u.u) AS reps FROM u
+)
+SELECT doc_id, text, lang, source, n_chars, reps::INT AS mix_repeats, unnest(range(1, reps + 1))::INT AS mix_copy FROM c WHERE reps > 0
+"""
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the item."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their personal data replaced by format-preserving pseudonyms."""
+    return pseudonymize(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under the model of the documents labelled good, and whether it stays."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality(table(spark, sf_dir, "documents"), trusted)
+
+
+def training_labels(labels: DataFrame) -> DataFrame:
+    """The rows that may be learned from: crc32 of the id as text, modulo 3, is not 1."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity(docs, training_labels(table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_decontaminate": op3_decontaminate,
+    "op6_pseudonyms": op6_pseudonyms,
+    "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL, "op2_mix_sources": OP2_SQL}
