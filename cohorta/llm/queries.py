@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
+from .common import work_path
 from .decontaminate import contaminated
+from .html_extract import main_text
 from .minhash import near_duplicates
 from .mixing import SEED, mix
 from .pii import pseudonymize
 from .quality import quality
 from .toxicity import toxicity
+from .urlfilter import judge
+from .warc import read_warc, write_warc
 
 #: Target shares of the mixture; other sources share the rest by their rows.
 WEIGHTS = {"src0": 0.08, "src1": 0.10, "src2": 0.08, "src3": 0.06, "src4": 0.05}
@@ -101,12 +106,47 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back."""
+    path = work_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return read_warc(spark, path).where("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+f AS (SELECT sha256(b) AS d, min(page_id) AS first FROM p WHERE octet_length(b) >= 100 GROUP BY 1)
+SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.d = sha256(p.b)
+"""
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    return nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_mix_sources": op2_mix_sources,
     "op3_decontaminate": op3_decontaminate,
+    "op4_warc": op4_warc,
+    "op5_main_text": op5_main_text,
     "op6_pseudonyms": op6_pseudonyms,
+    "op7_nearest": op7_nearest,
+    "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL, "op2_mix_sources": OP2_SQL}
+ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL, "op2_mix_sources": OP2_SQL, "op4_warc": OP4_SQL}
