@@ -11,9 +11,9 @@ representatives that share a band meet in its bucket, and links are confirmed on
 
 Buckets never emit all their pairs: each one first compares its members with one leader, and where
 members are then still in different components, with another. What is left in different components is
-compared in blocks of ``SIDE`` members: there the sketches' agreement must come within ``SIGMAS``
-standard deviations of the threshold (a miss has the chance of such a deviation), and pairs that do
-are confirmed on full sets. Buckets of up to ``FEW`` members skip the blocks. So a pair that shares a
+compared on full sets: pair by pair in buckets of up to ``FEW`` members; members of larger buckets are
+grouped by the component that most of their bucket is in, and those outside of it are compared with all
+of the group, in blocks of ``SIDE`` documents that hold only links, not pairs. So a pair that shares a
 bucket is compared, or already connected by confirmed links.
 
 Edge cases: null, empty or blank texts have an empty set and are linked with nothing; rows with one
@@ -39,7 +39,7 @@ _LOW = np.uint64(0xFFFFFFFF)
 BLOCK = 256
 #: Rounds with one leader a bucket, before the pairs that are left.
 LEADER_ROUNDS = 1
-FEW, SIDE, SIGMAS = 12, 4096, 4.0
+FEW, SIDE = 12, 4096
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -92,11 +92,10 @@ def _signatures(shingle: int, bands: int, rows: int):
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 one = np.array([mix64(s).sum() if len(s) else 0 for s in sets], dtype=np.uint64)
                 two = np.array([mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum() if len(s) else 0 for s in sets], dtype=np.uint64)
-                sk = sketches(sets, bands * rows)
-                keys, low = band_keys(sk, bands, rows), (sk & np.uint64(0xFF)).astype(np.uint8)
+                keys = band_keys(sketches(sets, bands * rows), bands, rows)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, BLOCK), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1))), pa.array([r.tobytes() for r in low], pa.binary())],
-                    names=["id", "n", "h1", "h2", "bands", "sketch"],
+                    [ids.slice(at, BLOCK), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))],
+                    names=["id", "n", "h1", "h2", "bands"],
                 )
 
     return run
@@ -123,27 +122,26 @@ def _confirm(shingle: int, percent: int):
     return run
 
 
-def _close(percent: int, t: int):
-    """Pairs of different components in one block pair of a bucket whose sketches agree closely enough."""
-    j = percent / 100
-    least = t * (j - SIGMAS * (j * (1 - j) / t) ** 0.5)
+def _exact(shingle: int, percent: int):
+    """Links between different components in one block pair of a group, on full sets. ``own`` is the group's largest component: of each pair, one is outside of it."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        node, n, c = (block[x].to_numpy() for x in ("node", "n", "c"))
-        sk = np.frombuffer(b"".join(block["sketch"]), dtype=np.uint8).reshape(len(block), t)
-        i, k = int(block["i"].iloc[0]), int(block["j"].iloc[0])
-        right = np.flatnonzero(block["b"].to_numpy() == k)
-        names, counts = np.unique(c, return_counts=True)
-        rest = np.flatnonzero(c != names[counts.argmax()])  # of each pair, one is outside the largest component
+        cache = WordHash()
+        sets = [shingle_set(ascii_words(t), shingle, cache) for t in block["text"]]
+        node, c, own, at = (block[x].to_numpy() for x in ("node", "c", "own", "b"))
+        i, j = int(block["i"].iloc[0]), int(block["j"].iloc[0])
+        n = np.array([len(s) for s in sets])
+        starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+        words, code = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(words), dtype=bool)
         a, b = [], []
-        for x in np.flatnonzero(block["b"].to_numpy() == i):
-            other = right if np.isin(x, rest) else np.intersect1d(right, rest)
-            other = other[(c[other] != c[x]) & (100 * np.minimum(n[other], n[x]) >= percent * np.maximum(n[other], n[x]))]
-            if i == k:
-                other = other[node[other] > node[x]]
-            hit = other[(sk[other] == sk[x]).sum(axis=1) >= least] if len(other) else other
-            a.append(np.maximum(node[hit], node[x]))
-            b.append(np.minimum(node[hit], node[x]))
+        for x in np.flatnonzero(c != own):
+            mark[:] = False
+            mark[code[starts[x] : starts[x] + n[x]]] = True
+            common = np.add.reduceat(mark[code].astype(np.int64), starts)
+            ok = (100 * common >= percent * (n + n[x] - common)) & (c != c[x]) & (at == (j if at[x] == i else i))
+            a.append(np.full(int(ok.sum()), node[x]))
+            b.append(node[ok])
         return pd.DataFrame({"a": np.concatenate([np.empty(0, np.int64), *a]), "b": np.concatenate([np.empty(0, np.int64), *b])})
 
     return run
@@ -172,7 +170,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """A row for each row of ``docs``: id, n_shingles, component_id (smallest id reachable over links of ``percent`` or more)."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sig = materialize(src.mapInArrow(_signatures(shingle, bands, rows), "id long, n long, h1 long, h2 long, bands array<long>, sketch binary"), "sig")
+    sig = materialize(src.mapInArrow(_signatures(shingle, bands, rows), "id long, n long, h1 long, h2 long, bands array<long>"), "sig")
     linkable = sig.where("n > 0 and id is not null")
     reps = linkable.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "bands")).alias("m")).select(F.col("m.id").alias("node"), "n", F.col("m.bands").alias("bands"))
     key = Window.partitionBy("key")
@@ -205,12 +203,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             few = many.where(F.col("k") <= FEW)
             other = few.select("key", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("c").alias("lead_c"))
             pairs = few.join(other, "key").where("node > lead and c != lead_c").where(sized).select(F.col("node").alias("a"), F.col("lead").alias("b"))
-            many = many.where(F.col("k") > FEW).withColumn("nb", F.ceil(F.col("k") / SIDE)).withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")))
-            known = linkable.select(F.col("id").alias("node"), "n", "sketch").dropDuplicates(["node", "n"])
-            blocks = many.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "node", "n", "c", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).join(known, ["node", "n"])
-            near = blocks.groupBy("key", "i", "j").applyInPandas(_close(percent, bands * rows), "a long, b long")
-            pairs = pairs.unionByName(near)
+            # larger buckets are grouped by the component that most of their members are in
+            many = many.where(F.col("k") > FEW)
+            most = many.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("own"))
+            group = many.join(most, "key").select("own", "node", "c").distinct()
+            sizes = group.groupBy("own").agg(F.ceil(F.count(F.lit(1)) / SIDE).alias("nb"))
+            blocks = group.join(sizes, "own").withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+            blocks = blocks.select("own", "node", "c", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).join(texts.withColumnRenamed("id", "node"), "node")
+            near = blocks.groupBy("own", "i", "j").applyInPandas(_exact(shingle, percent), "a long, b long")
         more = confirmed(pairs)
+        more = materialize(more.unionByName(near), "blocklinks") if last else more
         if more.isEmpty():
             continue
         star = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
