@@ -143,8 +143,8 @@ def linear_interpolation(targets: DataFrame, stations: DataFrame, day: str, valu
         return pd.DataFrame({day: key[0], "x": qx, "y": qy, "estimate": out})
 
     kind = stations.schema[day].dataType.simpleString()
-    days = targets.select("x", "y").crossJoin(F.broadcast(stations.select(day).distinct()))
-    return days.groupBy(day).cogroup(stations.select(day, "sx", "sy", F.col(value).cast("double").alias(value)).groupBy(day)).applyInPandas(run, f"{day} {kind}, x double, y double, estimate double")
+    days = targets.select("x", "y").crossJoin(F.broadcast(stations.select(F.col(day).alias("_day")).distinct()))
+    return days.groupBy("_day").cogroup(stations.select(day, "sx", "sy", F.col(value).cast("double").alias(value)).groupBy(day)).applyInPandas(run, f"{day} {kind}, x double, y double, estimate double")
 
 
 def ring_contains(x: Column, y: Column, ring: Sequence[tuple[float, float]]) -> Column:
