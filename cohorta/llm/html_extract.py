@@ -45,6 +45,7 @@ RAW = frozenset("script style noscript template iframe textarea xmp noembed nofr
 NEVER = frozenset("head title nav footer aside form button select option fieldset dialog menu menuitem label".split()) | RAW
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table tr pre blockquote".split())
 _SAME = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 # Words of class, id or role that mark what is no article text.
 NOISE = re.compile(
@@ -212,6 +213,7 @@ def induce(pages: list[str]) -> dict | None:
         return None
     first = trees[0]
     texts: dict[int, list[str]] = {}
+    same: dict[int, list[str]] = {}
     nodes: dict[int, Node] = {}
     for other in trees[1:]:
         pairs: list[tuple[Node, Node]] = []
@@ -219,14 +221,27 @@ def induce(pages: list[str]) -> dict | None:
         for a, b in pairs:
             nodes[id(a)] = a
             texts.setdefault(id(a), [joined(pieces(a))]).append(joined(pieces(b)))
-    varying = {k: sum(map(len, set(v))) if len(set(v)) > 1 else 0 for k, v in texts.items()}
+            same.setdefault(id(a), []).append(joined([c for c in b.children if isinstance(c, str)]))
+    own = lambda x: joined([c for c in x.children if isinstance(c, str)])
+    weights: dict[int, int] = {}
+
+    def weigh(x: Node) -> int:
+        """Text below a node that varies between the pages, or that the others lack."""
+        fixed = len(same.get(id(x), ())) == len(trees) - 1 and set(same[id(x)]) == {own(x)}
+        weights[id(x)] = (0 if fixed else len(own(x))) + sum(weigh(c) for c in elements(x) if not dropped(c))
+        return weights[id(x)]
+
+    weigh(first)
     at = first
-    while True:
-        below = [(varying.get(id(c), 0), i, c) for i, c in enumerate(elements(at)) if not dropped(c) and c.tag not in INLINE and c.tag not in ("p", "h1", "h2", "h3", "ul", "ol", "table", "tr", "pre", "blockquote")]
-        best = max(below, default=(0, 0, None), key=lambda x: (x[0], -x[1]))
-        if best[2] is None or best[0] < SLOT_SHARE * max(varying.get(id(at), 0), 1) or best[0] == 0:
+    while at.tag not in ("article", "main"):
+        parts = [c for c in elements(at) if not dropped(c)]
+        # a heading beside a part belongs to the text as well
+        if any(c.tag in ("h1", "h2", "h3") and weights[id(c)] for c in parts):
+            break
+        best = max((c for c in parts if c.tag not in INLINE and c.tag not in LEAVES), key=lambda c: weights[id(c)], default=None)
+        if best is None or not weights[id(best)] or weights[id(best)] < SLOT_SHARE * weights[id(at)]:
             break
-        at = best[2]
+        at = best
     inside: set[int] = set()
     stack = [at]
     while stack:

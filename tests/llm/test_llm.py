@@ -1,0 +1,329 @@
+"""Operators for training data against brute force, round trips and planted cases; edge cases of each."""
+
+import os
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cohorta.llm import ann, decontaminate, html_extract, minhash, mixing, pii, quality, queries, toxicity, urlfilter, warc
+
+DATA = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, texts, lang="en", source="a"):
+    return spark.createDataFrame([(i, t, lang, source, len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_matches_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DATA}/{f}'")
+    df = queries.QUERIES[name](spark, DATA)
+    columns = sorted(df.columns)
+    got = sorted(map(str, (tuple(r) for r in df.select(*columns).collect())))
+    r = con.execute(queries.ORACLE_SQL[name])
+    names = [x[0] for x in r.description]
+    assert got == sorted(str(tuple(x[names.index(c)] for c in columns)) for x in r.fetchall())
+
+
+# ---- near duplicates ----
+
+
+def brute_components(texts, k, percent):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))], [len(s) for s in sets]
+
+
+def edited(rng, words, share):
+    return [rng.choice("abcdefgh") + str(rng.random()) if rng.random() < share else w for w in words]
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_components_match_brute_force(spark, k):
+    rng = random.Random(k)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(3, 120))]
+        texts += [" ".join(edited(rng, base, rng.choice((0, 0.01, 0.02, 0.04, 0.08)))) for _ in range(6)]
+    hot = [f"h{i}" for i in range(140)]  # one large group of near copies, many of them below the threshold
+    texts += [" ".join(edited(rng, hot, 0.05)) for _ in range(60)] + [" ".join(hot)] * 15
+    texts += [None, "", " \n\t ", "one", "ONE", "two words", "x " * 3000]
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs_of(spark, texts), shingle=k).collect()}
+    roots, sizes = brute_components(texts, k, 80)
+    assert [got[i]["component_id"] for i in range(len(texts))] == roots
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
+
+
+def test_near_duplicate_edges(spark):
+    assert minhash.near_duplicates(docs_of(spark, []), shingle=2).count() == 0
+    rows = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A B c d e f")], "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("n", F.lit(2))
+    got = sorted(((r["doc_id"] or -1), r["component_id"]) for r in minhash.near_duplicates(rows).collect())
+    assert got == [(-1, None), (1, 1), (1, 1), (2, 1)]
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 2**63, 900).astype(np.uint64)
+    b = np.concatenate([a[:600], rng.integers(0, 2**63, 300).astype(np.uint64)])
+    s = minhash.sketches([np.sort(a), np.sort(b), a[:1], a[:0]], 1024)
+    assert abs((s[0] == s[1]).mean() - 0.5) < 0.06
+    assert (s[2] != minhash._MAX).all() and (s[3] == minhash._MAX).all()
+
+
+# ---- mixing ----
+
+
+def test_poisson_counts(spark):
+    u = spark.range(1000).select(((F.col("id") + 0.5) / 1000).alias("u"))
+    for rate in (0.0, 0.3, 1.0, 7.5, 60.0):
+        k = np.array([r[0] for r in u.select(mixing.poisson_quantile(F.lit(rate), F.col("u"))).collect()])
+        assert k.mean() == pytest.approx(rate, rel=0.02, abs=0.01) and k.var() == pytest.approx(rate, rel=0.05, abs=0.02)
+
+
+def test_mix_reaches_weights(spark):
+    d = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise("b").alias("source"), F.lit(1).alias("mix_x"))
+    out = mixing.mix(d, {"hot": 0.6, "absent": 0.1})
+    n = {r["source"]: r["count"] for r in out.groupBy("source").count().collect()}
+    total = sum(n.values())
+    assert total == pytest.approx(6000, rel=0.05) and n["hot"] / total == pytest.approx(0.6 / 0.9, rel=0.05)
+    assert out.where("mix_copy > mix_repeats").isEmpty() and mixing.mix(d.limit(0), {"hot": 1.0}).count() == 0
+
+
+# ---- decontamination ----
+
+ITEM = "A train leaves the old station with 120 passengers and 35 bags, and later the guard Alice counts 12 seats more than before."
+
+
+def test_finds_reparameterised_items(spark):
+    changed = ITEM.replace("120", "480").replace("35", "17").replace("12 ", "99 ").replace("Alice", "Bernard")
+    broken = "A train leaves the old station with 1 passengers and 2 bags and nobody ever came back to look for the rest of the things that were left."
+    texts = ["Filler words come first. " + ITEM + " And some after.", "Before that. " + changed, broken, None, "", ITEM.upper(), "plain text " * 400]
+    bench = spark.createDataFrame([(7, ITEM), (8, "five words are here only"), (9, None), (10, "no")], "item_id long, text string")
+    for most in (10**6, 0):
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs_of(spark, texts), bench, max_windows=most).collect()}
+        assert {(0, 7), (1, 7)} <= got and not {d for d, _ in got} & {2, 3, 4, 6}
+    assert decontaminate.contaminated(docs_of(spark, []), bench).count() == 0 and decontaminate.contaminated(docs_of(spark, texts), bench.limit(0)).count() == 0
+
+
+def test_slots_must_agree(spark):
+    item = "Add 5 apples to 7 pears then take 5 apples from 7 pears again please now"
+    bad = "Add 1 apples to 2 pears then take 3 apples from 4 pears again please now"
+    good = "Add 1 apples to 2 pears then take 1 apples from 2 pears again please now"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r["windows"] for r in decontaminate.contaminated(docs_of(spark, [bad, good]), bench, coverage=0.0).collect()}
+    assert got[1] > got.get(0, 0)
+
+
+def test_finds_planted_passages(spark):
+    d, b = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
+    items = [(r["item_id"], " ".join(r["text"].split())) for r in b.collect()]
+    there = {(r["doc_id"], i) for r in d.collect() for i, t in items if t in " ".join((r["text"] or "").split())}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()}
+    assert there and there <= got and len(got - there) <= 0.1 * len(there) + 1
+
+
+# ---- archives ----
+
+
+def test_archives_round_trip_and_salvage(spark, tmp_path):
+    html = ["<p>" + "x" * 200 + "</p>"] * 3 + ["short"] * 2 + [None, "", "é" * 80, "z" * 300]
+    pages = spark.createDataFrame([(i, f"http://h/{i}\r\nX: y", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    warc.write_warc(pages, path)
+    got = {r["page_id"]: r for r in warc.read_warc(spark, path).collect()}
+    assert len(got) == len(html) and all(r["gap"] is None for r in got.values())
+    assert [got[i]["record_type"] for i in range(9)] == ["response", "revisit", "revisit"] + ["response"] * 6
+    assert got[1]["refers_to"] == 0 and got[1]["payload_bytes"] == len(html[0]) and bytes(got[7]["payload"]).decode() == html[7]
+    files = [open(os.path.join(path, f), "rb").read() for f in sorted(os.listdir(path)) if f.startswith("part-")]
+    assert sum(len([x for x in warc.salvage(f) if x[0] == "record"]) for f in files) == 9
+
+
+def test_salvage_goes_on_after_damage():
+    parts = [warc._member(warc.record(i, "u", b"payload %d" % i * 40, "", None)) for i in range(4)]
+    hurt = bytearray(parts[1])
+    hurt[len(hurt) // 2] ^= 0xFF
+    plain = warc.record(9, "u", b"plain", "", None)
+    data = parts[0] + bytes(hurt) + parts[2] + b"garbage" + plain + parts[3][:-9]
+    found = list(warc.salvage(data))
+    assert [x[3]["x-page"] for x in found if x[0] == "record"] == ["0", "2", "9"]
+    gaps = [(x[1], x[2]) for x in found if x[0] == "gap"]
+    assert gaps[0] == (len(parts[0]), len(parts[0]) + len(hurt)) and gaps[-1][1] == len(data) and len(gaps) == 3
+    assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"junk"))[0][0] == "gap"
+
+
+# ---- main text ----
+
+
+def test_extracts_article():
+    page = """<html><head><title>t</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body><div id="cookie-banner">We use cookies</div>
+    <nav><a href="/">Home</a></nav><div class="ad">Buy</div><article><h1>Big &amp; bold</h1><p>One <b>bo</b>ld<br>line<p>Two&nbsp;three <form><input>go</form><aside>side</aside>
+    <div class="comments"><p>nice!</p></div><ul><li>a<li>b</ul></article><footer>&copy; x</footer></body></html>"""
+    assert html_extract.extract(page) == "Big & bold One bold line Two three a b"
+    assert html_extract.extract(None) == "" and html_extract.extract("plain &lt;text&gt;") == "plain <text>" and html_extract.extract("<p>cut <a href='x") == "cut"
+
+
+def test_wrapper_drops_template():
+    make = lambda i: f"<body><div class='top'><p>Welcome to our site</p></div><div class='box'><div class='body'><p>Story {i} {'word ' * i}</p><p>More {i * 7}</p></div><div class='x'><p>Read all our stories</p></div></div></body>"
+    w = html_extract.induce([make(i) for i in range(1, 6)])
+    assert html_extract.extract(make(9), w) == f"Story 9 {'word ' * 9}More 63"
+    assert html_extract.induce([make(1)] * 6) is None
+
+
+def test_pages_match_their_article(spark):
+    p = spark.read.parquet(f"{DATA}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(p).collect()}
+    import html as h
+
+    for r in p.collect():
+        body = re.search(r"<article>(.*?)(</article>|$)", r["html"], re.S)[1]
+        assert got[r["page_id"]] == " ".join(h.unescape(re.sub(r"<[^>]*>", " ", body)).split())
+    assert html_extract.main_text(p.limit(0)).count() == 0
+
+
+# ---- pseudonyms ----
+
+
+def luhn(s):
+    d = [int(c) for c in s][::-1]
+    return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
+
+
+def test_pseudonyms_keep_format(spark):
+    text = "Mail Ann.Lee42@mail.example.com or +1 (415) 555-2671, card 4539 1488 0343 6467 and 4539148803436467, ip 10.0.255.7, ssn 123-45-6789, born 1987-02-28 or 28/02/1987, iban GB82 WEST 1234 5698 7654 32, key 9f86d081884c7d659a2feaa0c55ad015, v1.2.3, 2019-13-45, 42."
+    a, b, c, e = (r["text"] for r in pii.pseudonymize(docs_of(spark, [text, "again 4539148803436467, 10.0.255.7", None, ""])).orderBy("doc_id").collect())
+    assert c is None and e == ""
+    for gone in ("Ann.Lee42", "555-2671", "4539148803436467", "1488", "10.0.255.7", "123-45-6789", "1987-02-28", "28/02/1987", "1234 5698", "9f86d081"):
+        assert gone not in a
+    assert "v1.2.3, 2019-13-45, 42." in a and a.startswith("Mail ")
+    card = re.search(r"and (\d{16}),", a)[1]
+    assert luhn(card) and card in b and re.search(r"ip (\S+),", a)[1] in b
+    assert re.search(r"card (\d{4} \d{4} \d{4} \d{4}) and", a)[1].replace(" ", "") == card
+    assert re.search(r"born \d{4}-\d\d-\d\d or \d\d/\d\d/\d{4},", a) and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4},", a)
+    bare = re.search(r"iban (.{27}),", a)[1].replace(" ", "")
+    assert int("".join(str(int(x, 36)) for x in bare[4:] + bare[:4])) % 97 == 1
+
+
+def test_feistel_is_a_bijection(spark):
+    d = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
+    assert d.select(pii.feistel_digits(F.col("d"), "k").alias("x")).where("length(x) = 3").distinct().count() == 1000
+    assert spark.range(4096).select(pii.feistel_long(F.col("id"), 12, "k", "t").alias("x")).where("x between 0 and 4095").distinct().count() == 4096
+
+
+def test_pseudonyms_use_no_python(spark):
+    plan = pii.pseudonymize(docs_of(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# ---- neighbours ----
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    x = centres[rng.integers(0, 12, 3000)] + rng.normal(size=(3000, 16)) * 0.7
+    x[50:90] = x[50]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(9000, None), (9020, [0.0] * 16), (9040, [float("nan")] * 16), (9060, [1.0]), (9080, [None] * 16)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 20 == 0, bucket=400).collect():
+        got.setdefault(r["query_id"], []).append(r)
+    hits = 0
+    for q in range(0, 3000, 20):
+        s = x @ x[q]
+        best = [i for i in np.lexsort((np.arange(3000), -s)) if i != q][:20]
+        mine = sorted(got[q], key=lambda r: r["rank"])
+        assert len(mine) == 20 and [r["rank"] for r in mine] == list(range(1, 21)) and all(r["score"] == pytest.approx(s[r["vec_id"]]) for r in mine)
+        hits += len({r["vec_id"] for r in mine} & set(best))
+    assert hits / (20 * 150) >= 0.9 and set(got) == set(range(0, 3000, 20))
+    assert [r["vec_id"] for r in sorted(got[60], key=lambda r: r["rank"])][:3] == [50, 51, 52] or x[60] @ x[60] < (x @ x[60]).max() - 1e-9
+
+
+# ---- url filter ----
+
+
+def test_rules_and_hosts(spark):
+    urls = ["HTTP://A.Example.ORG/es/x?q", "https://example.org/en/12#t", "http://x.com/fr/a", "http://y.com?/fr/", "http://z.com/de/1", "no scheme", None, "a://b.net"]
+    p = spark.createDataFrame([(i, u, None) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(p).collect()}
+    assert got[0] == ("a.example.org", "/es/x", "example.org/es/", "block") and got[1][2:] == ("example.org/en/1", "block")
+    assert got[2][2:] == ("com/fr/", "allow") and got[3][:3] == ("y.com", "", None) and got[4][3] == "block"
+    assert got[5] == got[6] == ("", "", None, "allow") and got[7] == ("b.net", "", None, "allow")
+
+
+def test_distrust_flows_against_links(spark):
+    link = lambda h: f'<a href="http://{h}/">x</a>'
+    rows = [(1, "http://bad.com/de/1", ""), (2, "http://friend.net/", link("bad.com") * 3), (3, "http://good.org/", link("fine.net")), (4, "http://fine.net/", "")]
+    got = {r["host"]: r["verdict"] for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {"bad.com": "block", "friend.net": "block", "good.org": "allow", "fine.net": "allow"}
+
+
+# ---- quality and toxicity ----
+
+
+def test_kneser_ney_sums_to_one():
+    table = np.bincount(np.concatenate([quality.grams("the cat sat on the mat. the dog!"), quality.grams("a b")]), minlength=quality.GRAMS)
+    p = np.exp(quality.kneser_ney(table).astype(float)).reshape(64, 64, 64)
+    assert p.sum(axis=2) == pytest.approx(np.ones((64, 64)), abs=1e-4)
+
+
+def test_quality_keeps_clean_documents(spark):
+    d, lab = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    got = quality.quality(d, lab.where("quality = 1").select("doc_id")).join(lab, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
+    by = {r[0]: r[1] for r in got}
+    assert by[1] >= 0.97 and by[0] < 0.6
+    odd = quality.quality(docs_of(spark, [None, "", "x"]), lab.limit(0).select("doc_id"))
+    assert [r["kept"] for r in odd.collect()] == [True] * 3
+
+
+def test_toxicity_on_held_out_rows(spark):
+    big = "/root/testdata/sf0.01"
+    d, lab = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    got = queries.op10_toxicity(spark, big).join(lab, "doc_id").where("held_out").toPandas()
+    y, rank = got["toxic"], got["score"].rank()
+    auc = (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (1 - y).sum())
+    assert auc > 0.8 and got["predicted"][y == 0].mean() < 0.03 and queries.op10_toxicity(spark, big).count() == d.count()
+    none = toxicity.toxicity(docs_of(spark, [None, "a"]), lab.limit(0))
+    assert [r["score"] for r in none.collect()] == [0.0, 0.0]
+
+
+# ---- pipeline ----
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        path = os.path.join(spark.conf.get("spark.checkpoint.dir"), f"t-{name}")
+        out.write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns == columns
+        if name == "dedup":
+            texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+            roots, _ = brute_components(list(texts.values()), 5, 80)
+            assert roots == list(range(len(texts)))
+    assert 0 < docs.count() < before
+    assert set(columns) < set(cp.STAGES[-1][1](spark, docs, DATA).columns)
