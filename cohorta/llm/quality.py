@@ -1,168 +1,225 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-Symbols are characters, folded into 64 classes (letters with their case, digits, white space, the
-common marks, and the rest by kind), so that a model of order 3 has at most 64 ** 3 entries however
-much text it was trained on. All trusted documents are counted: each partition counts its own
-trigrams, and the partial counts are joined and summed by trigram. Only the summed table, whose size
-is bounded by the alphabet, leaves the cluster's shuffle; its probabilities are looked up for every
-document where that document is read, so scoring does not move any text.
+Symbols are characters as they are (NUL counts as a space), the model is of order ``ORDER``, and no
+table is bounded by an alphabet: the n-grams of all trusted documents are counted, and the tables of
+every order stay in the cluster, sharded by n-gram. Documents are cut into blocks of about
+``BLOCK_CHARS`` characters (a longer document is one block); a block holds its texts, packed, and its
+distinct n-grams with their counts in trusted text. N-grams of all blocks are summed by n-gram, each
+gets its probability from joins with the counts and contexts of every order, and the probabilities
+go back to the blocks that hold the n-gram, where each document's perplexity is taken. What moves is
+the distinct n-grams of each block, which grow with the text, and the packed text once.
 
 Perplexity is smoothed for short documents: each counts as if it had ``PRIOR`` more symbols of the
-trusted text's own mean. A document is rejected where its perplexity exceeds ``margin`` times the
-quantile of trusted documents of its language; languages without trusted text take the quantile over
-all trusted documents.
+trusted text's own mean. Scores of text that the model was trained on are too good to set limits for
+other text, so one in ``HOLD`` trusted documents (by a hash of the id) is left out of the counts and
+sets the thresholds: a document is rejected where its perplexity exceeds ``margin`` times the quantile
+of those of its language. Languages without any take the quantile over all of them, and where no
+trusted document was left out, all trusted documents serve.
 
 Edge cases: null and empty texts have no perplexity (null) and are kept, as nothing speaks against
-them; a null language is a language of its own; without any trusted text no document is rejected.
+them; a null language is a language of its own; without any trusted text no document is rejected;
+repeated ids are scored row by row.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import drop, fold, materialize, maybe_broadcast
 
-CLASSES = 64
-GRAMS = CLASSES**3
+ORDER = 4
 #: Symbols of the trusted mean that each document's score is smoothed with.
 PRIOR = 60
 QUANTILE, MARGIN = 0.995, 1.1
-#: Documents that are looked up together.
-BLOCK = 128
-
-
-def _alphabet() -> np.ndarray:
-    """The class of each code point below 0x10000; what is above counts as class 62."""
-    table = np.full(0x10000, 62, dtype=np.uint8)
-    for c in range(0x80, 0x10000):
-        if 0xD800 <= c < 0xE000:
-            continue
-        x = chr(c)
-        table[c] = 53 if x.islower() else 54 if x.isupper() else 55 if x.isalpha() else 60 if x.isspace() else 62
-    for c in range(0x80):
-        x = chr(c)
-        table[c] = 59 if x.isdigit() else 61 if x.isprintable() else 63
-    for i in range(26):
-        table[ord("a") + i], table[ord("A") + i] = 1 + i, 27 + i
-    for i, marks in enumerate((".", ",", "'\"-:;()")):
-        for x in marks:
-            table[ord(x)] = 56 + i
-    for x in " \t\n\r\x0b\f":
-        table[ord(x)] = 60
-    return table
-
-
-_ALPHABET: list[np.ndarray] = []
-
-
-def alphabet() -> np.ndarray:
-    if not _ALPHABET:
-        _ALPHABET.append(_alphabet())
-    return _ALPHABET[0]
-
-
-def encode(text: str) -> np.ndarray:
-    """Classes of the characters, after two start symbols (class 0)."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    out = np.zeros(len(code) + 2, dtype=np.int32)
-    out[2:] = alphabet()[np.minimum(code, 0xFFFF)]
+#: One in so many trusted documents sets the thresholds; the others train the model.
+HOLD = 4
+#: Characters of a block, and of the texts that are looked up together.
+BLOCK_CHARS, PART_CHARS = 8_000_000, 1_000_000
+START = 2
+_BLOCK = "block string, docs binary, ids array<long>, langs array<string>, sizes array<long>, grams array<string>, counts array<long>"
+
+
+def symbols(text: str, order: int) -> np.ndarray:
+    """Code points after ``order - 1`` start symbols."""
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+    out = np.full(len(code) + order - 1, START, dtype=np.uint32)
+    out[order - 1 :] = np.where(code == 0, np.uint32(32), code)
     return out
 
 
-def grams(text: str) -> np.ndarray:
-    c = encode(text)
-    return (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
+def hashes(code: np.ndarray, order: int) -> np.ndarray:
+    return fold(code.astype(np.uint64), order)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(GRAMS, dtype=np.int64)
-    for batch in batches:
-        col = batch.column(0)
-        for at in range(0, len(col), BLOCK):
-            if parts := [grams(t) for x in col.slice(at, BLOCK) if (t := x.as_py())]:
-                total += np.bincount(np.concatenate(parts), minlength=GRAMS)
-    found = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], names=["gram", "n"])
+class _Grams:
+    """Distinct n-grams of one block with their counts in trusted text."""
 
+    def __init__(self, order: int):
+        self.order, self.parts, self.held, self.waiting = order, [], [], 0
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """(gram, n) over all rows of the one text column of ``texts``."""
-    return texts.mapInArrow(_count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    def add(self, text: str, known: bool) -> None:
+        code = symbols(text, self.order)
+        self.held.append((code, known))
+        self.waiting += len(code)
+        if self.waiting >= PART_CHARS:
+            self.merge()
 
+    def merge(self) -> None:
+        if not self.held:
+            return
+        code = np.concatenate([c for c, _ in self.held])
+        keys = np.concatenate([hashes(c, self.order) for c, _ in self.held])
+        sizes = [len(c) - self.order + 1 for c, _ in self.held]
+        weight = np.repeat(np.array([k for _, k in self.held], dtype=np.int64), sizes)
+        first = np.repeat(np.arange(len(sizes)) * (self.order - 1), sizes) + np.arange(len(keys))
+        h, at, inv = np.unique(keys, return_index=True, return_inverse=True)
+        windows = np.lib.stride_tricks.sliding_window_view(code, self.order)[first[at]]
+        self.parts.append((h, np.ascontiguousarray(windows), np.bincount(inv, weights=weight, minlength=len(h)).astype(np.int64)))
+        self.held, self.waiting = [], 0
 
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 1, 2, and 3 or more (Chen and Goodman, 1999)."""
-    n1, n2, n3, n4 = (max(int((counts == k).sum()), 1) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    return np.clip([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.01, [0.01, 0.99, 1.99, 2.99])
-
-
-def _level(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Probabilities of one order: ``counts`` by (context, symbol), interpolated with ``lower`` by the same axes."""
-    d = _discounts(counts)
-    total = counts.sum(axis=-1, keepdims=True)
-    cut = d[np.minimum(counts, 3)] * (counts > 0)
-    held = sum(d[k] * ((counts == k) if k < 3 else (counts >= 3)).sum(axis=-1, keepdims=True) for k in (1, 2, 3))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        p = (counts - cut) / total + held / total * lower
-    return np.where(total > 0, p, lower)
-
-
-def kneser_ney(table: np.ndarray) -> np.ndarray:
-    """Log-probability of each trigram's last symbol, from trigram counts."""
-    c3 = table.reshape(CLASSES, CLASSES, CLASSES)
-    c2 = (c3 > 0).sum(axis=0)
-    c1 = (c2 > 0).sum(axis=0)
-    p1 = _level(c1[None, :], np.full((1, CLASSES), 1 / CLASSES))[0]
-    p2 = _level(c2, np.broadcast_to(p1, c2.shape))
-    p3 = _level(c3, np.broadcast_to(p2, c3.shape))
-    return np.log(np.maximum(p3, 1e-12)).reshape(-1).astype(np.float32)
-
-
-def train(texts: DataFrame) -> tuple[np.ndarray, float] | None:
-    """Log-probabilities by trigram and their mean over the text, or None without text. At most 64 ** 3 rows come to the driver."""
-    table = np.zeros(GRAMS, dtype=np.int64)
-    for row in gram_counts(texts).collect():
-        table[row["gram"]] = row["n"]
-    if not table.any():
-        return None
-    logs = kneser_ney(table)
-    return logs, float(table @ logs.astype(np.float64) / table.sum())
+    def result(self) -> tuple[list[str], np.ndarray]:
+        self.merge()
+        if not self.parts:
+            return [], np.empty(0, dtype=np.int64)
+        h, at, inv = np.unique(np.concatenate([p[0] for p in self.parts]), return_index=True, return_inverse=True)
+        windows = np.concatenate([p[1] for p in self.parts])[at]
+        counts = np.bincount(inv, weights=np.concatenate([p[2] for p in self.parts]), minlength=len(h)).astype(np.int64)
+        return windows.view(f"<U{self.order}").reshape(-1).tolist(), counts
 
 
-def _score(logs: np.ndarray, mean: float):
+def _blocks(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, made = TaskContext.get().partitionId(), 0
+
+        def close() -> pa.RecordBatch:
+            data = [t.encode("utf-8", "replace") for t in texts]
+            grams, counts = found.result()
+            packed = zlib.compress(b"".join(data), 6)
+            cells = [f"{task}-{made}", packed, ids, langs, [len(x) for x in data], grams, counts.tolist()]
+            types = [pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types)], names=["block", "docs", "ids", "langs", "sizes", "grams", "counts"])
+
+        ids, langs, texts, found, chars = [], [], [], _Grams(order), 0
         for batch in batches:
-            ids, langs, texts = (batch.column(i) for i in range(3))
-            value = []
-            for x in texts:
-                if t := x.as_py():
-                    got = logs[grams(t)]
-                    value.append(float(np.exp(-(got.sum(dtype=np.float64) + PRIOR * mean) / (len(got) + PRIOR))))
-                else:
-                    value.append(None)
-            yield pa.RecordBatch.from_arrays([ids, langs, pa.array(value, pa.float64())], names=["id", "lang", "perplexity"])
+            for i, lang, known, text in zip(*(batch.column(k) for k in range(4))):
+                t = text.as_py() or ""
+                ids.append(i.as_py())
+                langs.append(lang.as_py())
+                texts.append(t)
+                chars += len(t)
+                if t:
+                    found.add(t, bool(known.as_py()))
+                if chars >= BLOCK_CHARS or len(ids) >= BLOCK_CHARS // 64:
+                    yield close()
+                    ids, langs, texts, found, chars, made = [], [], [], _Grams(order), 0, made + 1
+        if ids:
+            yield close()
+
+    return run
+
+
+def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """Modified Kneser-Ney discounts for counts of 1, 2, and 3 or more (Chen and Goodman, 1999), held inside (0, count)."""
+    n1, n2, n3, n4 = (max(n, 1) for n in (n1, n2, n3, n4))
+    y = n1 / (n1 + 2 * n2)
+    raw = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+    return [min(max(d, 0.01), k - 0.01) for k, d in enumerate(raw, 1)]
+
+
+def probabilities(counted: DataFrame, order: int) -> DataFrame:
+    """(gram, n, p) for every row of ``counted`` (gram, n in trusted text): its last symbol's probability after the others."""
+    counts = {order: counted.where("n > 0")}
+    for k in range(order - 1, 0, -1):
+        counts[k] = materialize(counts[k + 1].groupBy(F.substring("gram", 2, k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"counts{k}")
+    p = None
+    for k in range(1, order + 1):
+        have = counts[k].agg(*[F.count_if(F.col("n") == i) for i in (1, 2, 3, 4)], F.count(F.lit(1)), F.sum("n")).first()
+        d = discounts(*have[:4])
+        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        wanted = counted.select(F.substring("gram", order - k + 1, k).alias("gram")).distinct() if k < order else counted.select("gram")
+        seen = counts[k].select("gram", (F.col("n") - cut).alias("own"))
+        if k == 1:
+            held = counts[1].agg(F.sum(cut)).first()[0]
+            p = wanted.join(seen, "gram", "left").select("gram", ((F.coalesce("own", F.lit(0.0)) + F.lit(held / (have[4] + 1))) / F.lit(float(have[5]))).alias("p"))
+        else:
+            ctx = counts[k].groupBy(F.substring("gram", 1, k - 1).alias("ctx")).agg(F.sum("n").alias("total"), F.sum(cut).alias("held"))
+            lower = p.select(F.col("gram").alias("tail"), F.col("p").alias("low"))
+            parts = wanted.select("gram", F.substring("gram", 1, k - 1).alias("ctx"), F.substring("gram", 2, k - 1).alias("tail")).join(lower, "tail").join(ctx, "ctx", "left").join(seen, "gram", "left")
+            p = parts.select("gram", F.when(F.col("total") > 0, (F.coalesce("own", F.lit(0.0)) + F.col("held") * F.col("low")) / F.col("total")).otherwise(F.col("low")).alias("p"))
+        p = materialize(p, f"p{k}")
+    return p.join(counted, "gram").select("gram", "n", "p")
+
+
+def _score(order: int, mean: float):
+    def run(block: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        out = {"id": [], "lang": [], "perplexity": []}
+        if len(known):
+            code = np.frombuffer("".join(known["gram"]).encode("utf-32-le"), dtype=np.uint32).reshape(-1, order)
+            keys = np.array(np.concatenate([hashes(code[at : at + PART_CHARS].reshape(-1), order)[::order] for at in range(0, len(code), PART_CHARS)]))
+            sort = np.argsort(keys)
+            keys, logs = keys[sort], known["logp"].to_numpy(dtype=np.float64)[sort]
+        for row in block.itertuples(index=False):
+            data, at = zlib.decompress(row.docs), 0
+            for i, lang, size in zip(row.ids, row.langs, row.sizes):
+                text, at = data[at : at + size].decode("utf-8"), at + size
+                out["id"].append(i)
+                out["lang"].append(lang)
+                if not text:
+                    out["perplexity"].append(None)
+                    continue
+                got, n = 0.0, len(text)
+                h = hashes(symbols(text, order), order)
+                for b in range(0, n, PART_CHARS):
+                    got += logs[np.searchsorted(keys, h[b : b + PART_CHARS])].sum()
+                out["perplexity"].append(float(np.exp(-(got + PRIOR * mean) / (n + PRIOR))))
+        return pd.DataFrame({"id": pd.array(out["id"], dtype="Int64"), "lang": pd.Series(out["lang"], dtype=object), "perplexity": pd.Series(out["perplexity"], dtype="float64").astype(object).where(lambda s: s.notna(), None)})
 
     return run
 
 
-def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def perplexities(src: DataFrame, order: int = ORDER) -> DataFrame | None:
+    """(id, lang, perplexity) of rows (id, lang, known, text) under the model of the known rows; None where those have no text."""
+    blocks = materialize(src.select("id", "lang", "known", "text").mapInArrow(_blocks(order), _BLOCK), "blocks")
+    grams = blocks.select("block", F.explode(F.arrays_zip("grams", "counts")).alias("g")).select("block", F.col("g.grams").alias("gram"), F.col("g.counts").alias("n"))
+    counted = materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")), "counted")
+    total = counted.agg(F.sum("n")).first()[0]
+    if not total:
+        drop(blocks)
+        return None
+    model = materialize(probabilities(counted, order).select("gram", "n", F.log("p").cast("float").alias("logp")), "model")
+    mean = model.agg(F.sum(F.col("n") * F.col("logp"))).first()[0] / total
+    told = grams.select(F.col("block").alias("place"), "gram").join(model.select("gram", "logp"), "gram")
+    out = blocks.select("block", "docs", "ids", "langs", "sizes").groupBy("block").cogroup(told.groupBy("place")).applyInPandas(_score(order, mean), "id long, lang string, perplexity double")
+    out = materialize(out, "perplexity")
+    drop(blocks)
+    return out
+
+
+def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, order: int = ORDER) -> DataFrame:
     """A row for each row of ``docs``: id, lang, perplexity, threshold and kept; ``trusted`` holds the ids of trusted text."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("id")).where("id is not null").distinct()
-    known = maybe_broadcast(ids, ids.count())
-    model = train(src.join(known, "id", "left_semi").select("text"))
-    if model is None:
+    ids = ids.withColumn("held", F.pmod(F.xxhash64("id"), F.lit(HOLD)) == 0)
+    trains = maybe_broadcast(ids.where("not held").select("id", F.lit(True).alias("known")), n := ids.count())
+    scored = perplexities(src.join(trains, "id", "left"), order)
+    if scored is None:
         return src.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
-    scored = materialize(src.mapInArrow(_score(*model), "id long, lang string, perplexity double"), "perplexity")
     cut = F.percentile_approx("perplexity", quantile, 10000) * F.lit(margin)
-    fit = scored.join(known, "id", "left_semi")
-    every = fit.agg(cut.alias("any")).first()["any"]
-    by_lang = fit.groupBy("lang").agg(cut.alias("cut")).select(F.col("lang").alias("l"), "cut")
+    fit = scored.join(maybe_broadcast(ids, n), "id")
+    held = fit.where("held")
+    every = held.agg(cut.alias("any")).first()["any"]
+    if every is None:
+        held = fit
+        every = fit.agg(cut.alias("any")).first()["any"]
+    by_lang = held.groupBy("lang").agg(cut.alias("cut")).select(F.col("lang").alias("l"), "cut")
     out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("threshold", F.coalesce("cut", F.lit(every)))
     return out.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))

@@ -281,10 +281,61 @@ def test_distrust_flows_against_links(spark):
 # ---- quality and toxicity ----
 
 
-def test_kneser_ney_sums_to_one():
-    table = np.bincount(np.concatenate([quality.grams("the cat sat on the mat. the dog!"), quality.grams("a b")]), minlength=quality.GRAMS)
-    p = np.exp(quality.kneser_ney(table).astype(float)).reshape(64, 64, 64)
-    assert p.sum(axis=2) == pytest.approx(np.ones((64, 64)), abs=1e-4)
+def brute_kneser_ney(counts, gram):
+    """Interpolated modified Kneser-Ney probability of the last symbol of ``gram``, straight from the definition."""
+    order = len(gram)
+    levels = {order: dict(counts)}
+    for k in range(order - 1, 0, -1):
+        levels[k] = {}
+        for g in levels[k + 1]:
+            levels[k][g[1:]] = levels[k].get(g[1:], 0) + 1
+
+    def prob(g):
+        if not g:
+            return 1 / (len(levels[1]) + 1)
+        level = levels[len(g)]
+        d = quality.discounts(*[sum(n == i for n in level.values()) for i in (1, 2, 3, 4)])
+        after = {w: n for w, n in level.items() if w[:-1] == g[:-1]}
+        if not after:
+            return prob(g[1:])
+        cut = {w: d[min(n, 3) - 1] for w, n in after.items()}
+        return (after.get(g, 0) - cut.get(g, 0) + sum(cut.values()) * prob(g[1:])) / sum(after.values())
+
+    return prob(gram)
+
+
+def test_kneser_ney_equals_definition_and_sums_to_one(spark):
+    text, s = "the cat sat on the mat. the dog ate that!", chr(quality.START)
+    padded = s * 2 + text
+    counts = {}
+    for i in range(len(text)):
+        counts[padded[i : i + 3]] = counts.get(padded[i : i + 3], 0) + 1
+    letters = sorted(set(text)) + ["\u20ac"]
+    asked = {a + b + c for a, b in (s + s, s + "t", "th", "he", "xt", "zz") for c in letters} | set(counts)
+    got = {r["gram"]: r["p"] for r in quality.probabilities(spark.createDataFrame([(g, counts.get(g, 0)) for g in asked], "gram string, n long"), 3).collect()}
+    assert set(got) == asked
+    for g in asked:
+        assert got[g] == pytest.approx(brute_kneser_ney(counts, g), rel=1e-9)
+    for ctx in (s + s, s + "t", "th", "he", "xt", "zz"):
+        assert sum(got[ctx + c] for c in letters) == pytest.approx(1.0)
+
+
+def test_perplexities_equal_brute_force(spark):
+    texts = ["the cat sat", None, "", "a\x00b \U0001f600 cat", "the cat sat", "x", "zzzz " * 40]
+    d = spark.createDataFrame([(i, "en" if i % 2 else None, i in (0, 4, 6), t) for i, t in enumerate(texts)], "id long, lang string, known boolean, text string")
+    got = {r["id"]: (r["lang"], r["perplexity"]) for r in quality.perplexities(d, 3).collect()}
+    s, counts, grams = chr(quality.START) * 2, {}, {}
+    for i, t in enumerate(texts):
+        p = s + (t or "").replace("\x00", " ")
+        grams[i] = [p[j : j + 3] for j in range(len(p) - 2)]
+        if i in (0, 4, 6):
+            for g in grams[i]:
+                counts[g] = counts.get(g, 0) + 1
+    logs = {g: np.log(brute_kneser_ney(counts, g)) for gs in grams.values() for g in gs}
+    mean = sum(n * logs[g] for g, n in counts.items()) / sum(counts.values())
+    for i, t in enumerate(texts):
+        want = np.exp(-(sum(logs[g] for g in grams[i]) + quality.PRIOR * mean) / (len(grams[i]) + quality.PRIOR)) if t else None
+        assert got[i] == ("en" if i % 2 else None, pytest.approx(want, rel=1e-4) if t else None)
 
 
 def test_quality_keeps_clean_documents(spark):
