@@ -40,11 +40,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def materialize_buckets(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
+    """As :func:`materialize`, in ``buckets`` by ``key``: a later grouping by ``key`` reads the table where it lies, without a shuffle."""
+    spark = df.sparkSession
+    path, name = work_path(spark, tag), f"cohorta_{tag}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    out = spark.table(name)
+    out._cohorta_path, out._cohorta_table = path, name
+    return out
+
+
 def drop(df: DataFrame) -> None:
-    """Delete what :func:`materialize` wrote, when no later plan reads it."""
-    path = getattr(df, "_cohorta_path", None)
+    """Delete what :func:`materialize` or :func:`materialize_buckets` wrote, when no later plan reads it."""
+    path, name = getattr(df, "_cohorta_path", None), getattr(df, "_cohorta_table", None)
+    spark = df.sparkSession
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     if path:
-        spark = df.sparkSession
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

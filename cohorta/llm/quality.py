@@ -7,7 +7,8 @@ every order stay in the cluster, sharded by n-gram. Documents are cut into block
 distinct n-grams with their counts in trusted text. N-grams of all blocks are summed by n-gram, each
 gets its probability from joins with the counts and contexts of every order, and the probabilities
 go back to the blocks that hold the n-gram, where each document's perplexity is taken. What moves is
-the distinct n-grams of each block, which grow with the text, and the packed text once.
+the distinct n-grams of each block, which grow with the text; the packed text is written once, in
+buckets by block, and scored where it lies.
 
 Perplexity is smoothed for short documents: each counts as if it had ``PRIOR`` more symbols of the
 trusted text's own mean. Scores of text that the model was trained on are too good to set limits for
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, fold, materialize, maybe_broadcast
+from .common import drop, fold, materialize, materialize_buckets, maybe_broadcast
 
 ORDER = 4
 #: Symbols of the trusted mean that each document's score is smoothed with.
@@ -42,6 +43,8 @@ QUANTILE, MARGIN = 0.995, 1.1
 HOLD = 4
 #: Characters of a block, and of the texts that are looked up together.
 BLOCK_CHARS, PART_CHARS = 8_000_000, 1_000_000
+#: Buckets that the blocks are written in: one for each block's worth of text, to Spark's own bound.
+MAX_BUCKETS = 100_000
 START = 2
 _BLOCK = "block string, docs binary, ids array<long>, langs array<string>, sizes array<long>, grams array<string>, counts array<long>"
 
@@ -188,7 +191,9 @@ def _score(order: int, mean: float):
 
 def perplexities(src: DataFrame, order: int = ORDER) -> DataFrame | None:
     """(id, lang, perplexity) of rows (id, lang, known, text) under the model of the known rows; None where those have no text."""
-    blocks = materialize(src.select("id", "lang", "known", "text").mapInArrow(_blocks(order), _BLOCK), "blocks")
+    chars = src.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    buckets = min(1 + chars // BLOCK_CHARS, MAX_BUCKETS)
+    blocks = materialize_buckets(src.select("id", "lang", "known", "text").mapInArrow(_blocks(order), _BLOCK), "blocks", "block", buckets)
     grams = blocks.select("block", F.explode(F.arrays_zip("grams", "counts")).alias("g")).select("block", F.col("g.grams").alias("gram"), F.col("g.counts").alias("n"))
     counted = materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")), "counted")
     total = counted.agg(F.sum("n")).first()[0]
