@@ -4,8 +4,13 @@ Vectors are lifted to unit norm (one component more, from the largest norm), whe
 product is the smallest Euclidean distance. Each of ``tables`` hash tables keys a vector by ``m`` p-stable
 hashes floor((a.x + b) / w) with Gaussian a (Datar et al., 2004). A query visits its own bucket and
 perturbed ones in the order of their estimated success, the sum of squared distances to the bucket walls
-that are crossed (Lv et al., 2007), ``probes`` in each table. ``m`` grows with the logarithm of the number
-of vectors, so that a bucket stays near ``BUCKET`` vectors; all vectors are indexed.
+that are crossed (Lv et al., 2007); all vectors are indexed.
+
+How far a query must look follows from the data. The exact neighbours of ``PILOTS`` queries, from one scan,
+tell for each number of hashes how many probes find the share ``recall`` of them, and a sample of the
+vectors what those probes would read. The cheapest way is taken. Where none reads less than all vectors,
+or reaches the share, all are scanned, block of queries by block of queries, which is exact. A query's
+``k + 1``-th best score in the sample bounds its neighbours' from below, so neither way passes on more.
 
 Equal vectors are one entry with their ``k + 1`` smallest ids, which is all that any list can show of them.
 Buckets are met block by block of ``BLOCK`` entries, so no task holds more than that of one bucket; each
@@ -28,7 +33,15 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 K = 20
-TABLES, WIDTH, PROBES, BUCKET, BLOCK = 4, 1.0, 24, 2500, 4096
+TABLES, WIDTH, BUCKET, BLOCK = 4, 1.0, 2500, 4096
+#: Share of the neighbours that the pilot queries must find, above the 0.9 that is asked for as it is an estimate.
+RECALL, PILOTS = 0.95, 200
+#: Bytes of the vectors that bound the scores and stand for all in estimates, and of the queries of one scan.
+SAMPLE_BYTES, SCAN_BYTES = 32 << 20, 16 << 20
+#: What a probe costs beside the vectors that it reads, in vectors.
+PROBE_COST = 2000
+#: Scores gathered before they are cut to the best.
+HELD = 2_000_000
 SEED = 7
 
 
@@ -75,59 +88,153 @@ def _index(dim: int, m: int, tables: int, width: float, largest: float):
     return run
 
 
+def _ordered(p: np.ndarray, combos: np.ndarray) -> np.ndarray:
+    """Places of ``combos`` in the order of their success for each row of hash values ``p``."""
+    down = p - np.floor(p)
+    cost = (1 - down) ** 2 @ (combos == 1).T + down**2 @ (combos == -1).T
+    return np.argsort(cost, axis=1, kind="stable")
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))])
+
+
 def _probe(dim: int, m: int, tables: int, width: float, probes: int):
     a, b = _projections(dim + 1, m, tables, width)
     combos = _combos(m)
 
     def run(frames):
         for f in frames:
-            x = np.array(f["v"].tolist(), dtype=float).reshape(-1, dim)
-            x = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))])
+            x = _unit(np.array(f["v"].tolist(), dtype=float).reshape(-1, dim))
             for t in range(tables):
                 p = (x @ a[t] + b[t]) / width
-                h = np.floor(p)
-                up, down = (1 - (p - h)) ** 2, (p - h) ** 2
-                cost = up @ (combos == 1).T + down @ (combos == -1).T
-                best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-                key = _keys(h[:, None, :] + combos[best])
+                key = _keys(np.floor(p)[:, None, :] + combos[_ordered(p, combos)[:, :probes]])
                 n = key.shape[1]
-                yield pd.DataFrame({"t": t, "key": key.reshape(-1), "q": np.repeat(f["id"].to_numpy(), n), "qv": [v for v in f["v"] for _ in range(n)]})
+                yield pd.DataFrame({"t": t, "key": key.reshape(-1), "q": np.repeat(f["id"].to_numpy(), n), "qv": [v for v in f["v"] for _ in range(n)], "bound": np.repeat(f["bound"].to_numpy(), n)})
 
     return run
 
 
-def _top(s: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest of each row, earlier places first among equals."""
-    if s.shape[1] <= k:
-        return np.argsort(-s, axis=1, kind="stable")
-    top = np.sort(np.argpartition(-s, k - 1, axis=1)[:, :k], axis=1)
-    least = np.take_along_axis(s, top, 1).min(axis=1, keepdims=True)
-    for i in np.flatnonzero((s >= least).sum(axis=1) > k):
-        top[i] = np.sort(np.argsort(-s[i], kind="stable")[:k])
-    return top
+def plan(pilots: np.ndarray, near: np.ndarray, of: np.ndarray, sample: np.ndarray, n: int, largest: float, most: int, tables: int, width: float, recall: float, probe_cost: float) -> tuple[int, int]:
+    """(hashes, probes) of the cheapest way that finds ``recall`` of ``near``, the neighbours of ``pilots[of]``; (0, 0) for a scan of all."""
+    dim, best, least = pilots.shape[1], (0, 0), float(n)
+    x, y, z = _unit(pilots), _lift(near, largest), _lift(sample, largest)
+    for m in range(1, most + 1):
+        a, b = _projections(dim + 1, m, tables, width)
+        combos = _combos(m)
+        code = (combos + 1) @ 3 ** np.arange(m)
+        spot = np.full(3**m, len(combos))
+        spot[code] = np.arange(len(combos))
+        needed = np.full(len(near), len(combos))
+        asked, orders = [], []
+        for t in range(tables):
+            p = (x @ a[t] + b[t]) / width
+            order = _ordered(p, combos)
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.arange(len(combos))[None, :], 1)
+            step = (np.floor((y @ a[t] + b[t]) / width) - np.floor(p)[of]).astype(np.int64)
+            inside = (np.abs(step) <= 1).all(axis=1)
+            at = spot[(np.where(inside[:, None], step, 0) + 1) @ 3 ** np.arange(m)]
+            inside &= at < len(combos)
+            needed = np.minimum(needed, np.where(inside, place[of, np.where(inside, at, 0)], len(combos)))
+            asked.append(np.floor(p))
+            orders.append(order)
+        probes = int(np.sort(needed)[max(0, int(np.ceil(recall * len(needed))) - 1)]) + 1
+        if probes > len(combos):
+            continue
+        read = 0
+        for t in range(tables):
+            held, sizes = np.unique(_keys(np.floor((z @ a[t] + b[t]) / width)), return_counts=True)
+            keys = _keys(asked[t][:, None, :] + combos[orders[t][:, :probes]]).reshape(-1)
+            spots = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+            read += sizes[spots][held[spots] == keys].sum()
+        cost = read / len(x) * n / len(z) + probe_cost * probes * tables
+        if cost < least:
+            best, least = (m, probes), cost
+    return best
+
+
+class _Held:
+    """The k best scores of each query, equal ones by the smaller id, of what is added; ``bound`` rises with them."""
+
+    def __init__(self, k: int, bound: np.ndarray):
+        self.k, self.bound, self.parts, self.size = k, bound.copy(), [], 0
+
+    def add(self, qs: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+        for at in range(0, len(qs), 512):
+            s = qs[at : at + 512] @ x.T
+            q, i = np.nonzero(s >= self.bound[at : at + 512, None])
+            self.parts.append((q + at, ids[i], s[q, i]))
+            self.size += len(q)
+            if self.size > HELD:
+                self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        q, i, s = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        places = np.arange(len(q))
+        first = np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]][: len(q)], places, 0))
+        last = places - first == self.k - 1
+        self.bound[q[last]] = np.maximum(self.bound[q[last]], _below(s[last]))
+        keep = places - first < self.k
+        self.parts, self.size = [(q[keep], i[keep], s[keep])], int(keep.sum())
+        return self.parts[0]
+
+
+def _below(s: np.ndarray) -> np.ndarray:
+    """A little less, as sums in another order differ in their last digits."""
+    return s - 1e-9 * np.maximum(1.0, np.abs(s))
 
 
 def _best(k: int):
     def run(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(index) or not len(asked):
             return pd.DataFrame({"q": [], "id": [], "score": []})
-        ids, x = index["id"].to_numpy(), np.array(index["v"].tolist(), dtype=float)
-        order = np.argsort(ids)
-        ids, x = ids[order], x[order]
-        q, got, score = [], [], []
-        for at in range(0, len(asked), 512):
-            part = asked.iloc[at : at + 512]
-            s = np.array(part["qv"].tolist(), dtype=float) @ x.T
-            top = _top(s, k)
-            q.append(np.repeat(part["q"].to_numpy(), top.shape[1]))
-            got.append(ids[top].reshape(-1))
-            score.append(np.take_along_axis(s, top, 1).reshape(-1))
-        return pd.DataFrame({"q": np.concatenate(q), "id": np.concatenate(got), "score": np.concatenate(score)})
+        held = _Held(k, asked["bound"].to_numpy(dtype=float))
+        held.add(np.array(asked["qv"].tolist(), dtype=float), index["id"].to_numpy(), np.array(index["v"].tolist(), dtype=float))
+        q, i, s = held.cut()
+        return pd.DataFrame({"q": asked["q"].to_numpy()[q], "id": i, "score": s})
+
+    return run
+
+
+def _bounds(sample, k: int):
+    def run(frames):
+        ids = np.arange(len(sample.value))
+        for f in frames:
+            x, bound = np.array(f["v"].tolist(), dtype=float), np.full(len(f), -np.inf)
+            if len(f) and len(ids) >= k:
+                for at in range(0, len(x), 512):
+                    s = x[at : at + 512] @ sample.value.T
+                    bound[at : at + 512] = _below(-np.partition(-s, k - 1, axis=1)[:, k - 1])
+            yield pd.DataFrame({"id": f["id"], "v": f["v"], "bound": bound})
+
+    return run
+
+
+def _scan(asked, k: int):
+    def run(frames):
+        q, qv, bound = asked.value
+        held = _Held(k, bound)
+        for f in frames:
+            if len(f):
+                held.add(qv, f["id"].to_numpy(), np.array(f["v"].tolist(), dtype=float))
+        at, i, s = held.cut()
+        yield pd.DataFrame({"q": q[at], "id": i, "score": s})
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, width: float = WIDTH, probes: int = PROBES, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+def _scanned(classes: DataFrame, asked: pd.DataFrame, k: int) -> DataFrame:
+    """(q, id, score): the k best of each row of ``asked`` (id, v, bound), of each task's vectors."""
+    sent = classes.sparkSession.sparkContext.broadcast((asked["id"].to_numpy(), np.array(asked["v"].tolist(), dtype=float), asked["bound"].to_numpy(dtype=float)))
+    return classes.mapInPandas(_scan(sent, k), "q long, id long, score double")
+
+
+def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, width: float = WIDTH, recall: float = RECALL, bucket: int = BUCKET, block: int = BLOCK, probe_cost: float = PROBE_COST) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id fulfils ``is_query`` (a Column of ``id``)."""
     rows = materialize(clean(vectors, id_col, vec_col), "vectors")
     by_vector = Window.partitionBy("v").orderBy("id")
@@ -138,19 +245,43 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     if not n:
         return empty
     dim = len(firsts.first()["v"])
-    # how many hashes keep buckets near the aimed size: one of this width cuts space to about 1 / (3 / w)
-    m = int(max(1, min(12, round(np.log(max(n / bucket, 1)) / np.log(3.0 / width + 0.5)))))
+    # the most hashes that keep buckets near the aimed size: one of this width cuts space to about 1 / (3 / w)
+    most = int(max(1, min(12, round(np.log(max(n / bucket, 1)) / np.log(3.0 / width + 0.5)))))
     classes = firsts.select(F.col("rep").alias("id"), "v")
-    index = classes.mapInPandas(_index(dim, m, tables, width, largest), "t int, key long, id long, v array<double>")
-    index = materialize(index, "index")
-    sizes = index.groupBy("t", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
     asking = rows.where(is_query(F.col("id"))).join(firsts.select("v", "rep"), "v").select(F.col("id").alias("query_id"), "rep")
     asking = materialize(asking, "asking")
-    probing = classes.join(asking.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInPandas(_probe(dim, m, tables, width, probes), "t int, key long, q long, qv array<double>")
-    blocks = index.join(sizes, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).drop("nb")
-    probed = probing.join(sizes, ["t", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
-    met = blocks.groupBy("t", "key", "part").cogroup(probed.groupBy("t", "key", "part")).applyInPandas(_best(k + 1), "q long, id long, score double")
-    found = materialize(met.groupBy("q", "id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k + 5).select("q", "id"), "found")
+    sample = np.array(classes.orderBy(F.xxhash64("id"), "id").limit(max(k + 1, SAMPLE_BYTES // (8 * dim))).select("v").toPandas()["v"].tolist(), dtype=float)
+    sent = rows.sparkSession.sparkContext.broadcast(sample)
+    asked = classes.join(asking.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInPandas(_bounds(sent, k + 1), "id long, v array<double>, bound double")
+    asked = materialize(asked, "asked")
+    if asked.isEmpty():
+        return empty
+    by_score = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+
+    def cut(met: DataFrame, most: int) -> DataFrame:
+        return met.groupBy("q", "id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= most).select("q", "id")
+
+    pilots = asked.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(PILOTS).toPandas()
+    near = cut(_scanned(classes, pilots, k + 1), k + 1).where("q != id").join(classes, "id").select("q", "v").toPandas()
+    of = np.searchsorted(np.sort(pilots["id"].to_numpy()), near["q"].to_numpy())
+    points = lambda f: np.array(f["v"].tolist(), dtype=float).reshape(-1, dim)
+    m, probes = plan(points(pilots.sort_values("id")), points(near), of, sample, n, largest, most, tables, width, recall, probe_cost) if len(near) else (0, 0)
+    if m:
+        index = materialize(classes.mapInPandas(_index(dim, m, tables, width, largest), "t int, key long, id long, v array<double>"), "index")
+        sizes = index.groupBy("t", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+        probing = asked.mapInPandas(_probe(dim, m, tables, width, probes), "t int, key long, q long, qv array<double>, bound double")
+        blocks = index.join(sizes, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).drop("nb")
+        probed = probing.join(sizes, ["t", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
+        met = blocks.groupBy("t", "key", "part").cogroup(probed.groupBy("t", "key", "part")).applyInPandas(_best(k + 1), "q long, id long, score double")
+        found = materialize(cut(met, k + 5), "found")
+    else:
+        parts = -(-asked.count() * 8 * dim // SCAN_BYTES)
+        spread = materialize(classes.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n * 8 * dim // SAMPLE_BYTES)), "id"), "spread")
+        turn = F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(parts))
+        found = None
+        for i in range(parts):
+            got = materialize(cut(_scanned(spread, asked.where(turn == i).toPandas(), k + 1), k + 5), "found")
+            found = got if found is None else found.union(got)
     dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     exact = found.join(classes.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q").join(classes, "id").select(F.col("q").alias("rep"), "id", dot.alias("score"))
     listed = exact.join(firsts.select(F.col("rep").alias("id"), "ids"), "id").select("rep", "score", F.explode("ids").alias("vec_id"))

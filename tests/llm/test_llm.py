@@ -259,6 +259,38 @@ def test_neighbours(spark):
     assert [r["vec_id"] for r in sorted(got[60], key=lambda r: r["rank"])][:3] == [50, 51, 52] or x[60] @ x[60] < (x @ x[60]).max() - 1e-9
 
 
+@pytest.mark.parametrize("cost", [0, ann.PROBE_COST])
+def test_neighbours_in_narrow_buckets(spark, cost):
+    x = np.random.default_rng(5).normal(size=(20000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(d, lambda i: i % 100 == 0, bucket=100, probe_cost=cost).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    s = x[::100] @ x.T
+    best = [set(np.argsort(-row)[:21]) - {100 * q} for q, row in enumerate(s)]
+    assert sum(len(b & got[100 * q]) for q, b in enumerate(best)) / 4000 >= 0.9
+
+
+@pytest.mark.parametrize("most", [4, 5, 6])
+def test_probes_follow_the_hashes(most):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60000 // 30, 32))
+    x = np.repeat(centres, 30, axis=0) + rng.normal(size=(60000, 32)) * 0.25
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q, of = x[::600], np.repeat(np.arange(100), 20)
+    near = x[np.argsort(-q @ x.T, axis=1)[:, 1:21].reshape(-1)]
+    m, probes = ann.plan(q, near, of, x, len(x), 1.0, most, 4, 1.0, 0.95, 0)
+    assert m == most
+    met = np.zeros(len(near), bool)
+    (a, b), combos = ann._projections(33, m, 4, 1.0), ann._combos(m)
+    for t in range(4):
+        p = (ann._unit(q) @ a[t] + b[t])
+        keys = ann._keys(np.floor(p)[:, None, :] + combos[ann._ordered(p, combos)[:, :probes]])
+        met |= (ann._keys(np.floor(ann._lift(near, 1.0) @ a[t] + b[t]))[:, None] == keys[of]).any(axis=1)
+    assert met.mean() >= 0.95
+
+
 # ---- url filter ----
 
 
