@@ -4,7 +4,8 @@ Per host, the trees of a few pages (``SAMPLE``, taken by a hash of their id, wit
 aligned by simple tree matching (Yang, 1991). Nodes that carry the same text in all aligned pages are
 template; the node that holds nearly all of the varying text is the content slot. A host's wrapper is
 the path of that slot and the template's texts outside of it. It is then applied to every page of the
-host: the slot is looked up by its path, and its blocks are read in page order.
+host: the slot is looked up by its path, where siblings of one name are aligned in order with the
+wrapper's by what they hold, and its blocks are read in page order.
 
 Inside and outside of the slot, elements that are never article text are left out: scripts, styles,
 forms, menus, headers and footers of the page, sidebars, and elements whose class, id or role names an
@@ -151,20 +152,59 @@ def joined(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
-def path_of(node: Node) -> str:
-    names = []
+def shape(node: Node, constant: frozenset[str]) -> list:
+    """What a node is told by among siblings of its name: the names below it, and its text if that is the template's."""
+    text = joined(pieces(node))
+    return [sorted({c.name for c in elements(node)}), text if f"{node.name}\t{text}" in constant else None]
+
+
+def path_of(node: Node, constant: frozenset[str]) -> list:
+    """Name, place among the siblings of that name, and their shapes, from the root down."""
+    steps = []
     while node.parent is not None:
-        names.append(node.name)
+        same = [c for c in elements(node.parent) if c.name == node.name]
+        steps.append([node.name, next(k for k, c in enumerate(same) if c is node), [shape(c, constant) for c in same]])
         node = node.parent
-    return ">".join(reversed(names))
+    return steps[::-1]
+
 
+def _likeness(known: list, node: Node, text: str, constant: frozenset[str]) -> float:
+    if known[1] is not None:
+        return 3.0 if text == known[1] else 0.2
+    if f"{node.name}\t{text}" in constant:
+        return 0.1
+    a, b = set(known[0]), {c.name for c in elements(node)}
+    return 1 + (len(a & b) / len(a | b) if a | b else 1)
 
-def find(root: Node, path: str) -> Node | None:
-    """The first node at ``path``."""
-    here = [root]
-    for name in path.split(">"):
-        here = [c for x in here for c in x.children if isinstance(c, Node) and c.name == name]
-    return here[0] if here else None
+
+def find(root: Node, path: list, constant: frozenset[str]) -> Node | None:
+    """The node at ``path``: at each step, siblings of the name are aligned in order with those of the wrapper."""
+    at = root
+    for name, place, known in path:
+        same = [c for c in elements(at) if c.name == name]
+        if len(same) == 1 and len(known) == 1:
+            at = same[0]
+            continue
+        texts = [joined(pieces(c)) for c in same]
+        m = [[0.0] * (len(same) + 1) for _ in range(len(known) + 1)]
+        w = [[_likeness(k, c, t, constant) for c, t in zip(same, texts)] for k in known]
+        for i in range(len(known)):
+            for j in range(len(same)):
+                m[i + 1][j + 1] = max(m[i + 1][j], m[i][j + 1], m[i][j] + w[i][j])
+        i, j = len(known), len(same)
+        at = None
+        while i and j:
+            if m[i][j] == m[i - 1][j - 1] + w[i - 1][j - 1]:
+                i, j = i - 1, j - 1
+                if i == place:
+                    at = same[j]
+            elif m[i][j] == m[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        if at is None:
+            return None
+    return at
 
 
 def elements(node: Node) -> list[Node]:
@@ -249,7 +289,7 @@ def induce(pages: list[str]) -> dict | None:
         inside.add(id(x))
         stack += elements(x)
     constant = {f"{a.name}\t{texts[k][0]}" for k, a in nodes.items() if k not in inside and len(texts[k]) == len(trees) and len(set(texts[k])) == 1 and texts[k][0]}
-    return {"slot": path_of(at), "constant": sorted(constant)}
+    return {"slot": path_of(at, frozenset(constant)), "constant": sorted(constant)}
 
 
 def extract(page: str | None, wrapper: dict | None = None) -> str:
@@ -257,8 +297,8 @@ def extract(page: str | None, wrapper: dict | None = None) -> str:
     if not page:
         return ""
     root = parse(page)
-    node = find(root, wrapper["slot"]) if wrapper and wrapper["slot"] else None
     constant = frozenset(wrapper["constant"]) if wrapper else frozenset()
+    node = find(root, wrapper["slot"], constant) if wrapper and wrapper["slot"] else None
     if node is None:
         node, todo = None, [root]
         while todo and node is None:

@@ -191,6 +191,13 @@ def test_wrapper_drops_template():
     assert html_extract.induce([make(1)] * 6) is None
 
 
+def test_slot_is_not_the_first_of_its_name():
+    make = lambda i, more="": f"<body>{more}<div>Home News Sport About us</div><div><p>Story {i} {'word ' * i}</p><p>More {i * 7}</p></div></body>"
+    w = html_extract.induce([make(i) for i in range(3, 9)])
+    assert html_extract.extract(make(9), w) == f"Story 9 {'word ' * 9}More 63"
+    assert html_extract.extract(make(9, "<div>Sale</div>"), w) == f"Story 9 {'word ' * 9}More 63"
+
+
 def test_pages_match_their_article(spark):
     p = spark.read.parquet(f"{DATA}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html_extract.main_text(p).collect()}
