@@ -1,16 +1,19 @@
 """Main text of web pages by wrapper induction.
 
-Per host, the trees of a few pages (``SAMPLE``, taken by a hash of their id, with different bodies) are
-aligned by simple tree matching (Yang, 1991). Nodes that carry the same text in all aligned pages are
-template; the node that holds nearly all of the varying text is the content slot. A host's wrapper is
-the path of that slot and the template's texts outside of it. It is then applied to every page of the
-host: the slot is looked up by its path, where siblings of one name are aligned in order with the
+Pages of a host are grouped by template, told by the names of its block elements. Of each group with at
+least ``LEAST`` different bodies, a few pages (``SAMPLE``, by a hash, equal bodies counted once) are
+aligned by simple tree matching (Yang, 1991); pages of smaller groups take the wrapper of a sample of
+the whole host. Nodes that carry the same text in all aligned pages are
+template; the node that holds nearly all of the varying text is the content slot. A wrapper is
+the path of that slot and the template's texts outside of it. It is then applied to every page of its
+group: the slot is looked up by its path, where siblings of one name are aligned in order with the
 wrapper's by what they hold, and its blocks are read in page order.
 
 Inside and outside of the slot, elements that are never article text are left out: scripts, styles,
 forms, menus, headers and footers of the page, sidebars, and elements whose class, id or role names an
 advert, notice, comment section and the like. Pages without a wrapper (few pages on the host, or the
-slot is missing) fall back to their ``article`` or ``main`` element, else to what holds most text.
+slot is missing) fall back to their ``article`` or ``main`` element, else to what holds most text: the
+innermost block with ``MOST_SHARE`` of the text outside of links.
 
 Edge cases: null html gives an empty text; markup that is cut off is read as far as it goes; a page of
 plain text is its own article.
@@ -18,22 +21,25 @@ plain text is its own article.
 
 from __future__ import annotations
 
+import difflib
 import html
 import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialize
+from .common import BROADCAST_BYTES, materialize, maybe_broadcast
 from .urlfilter import host
 
 SAMPLE, LEAST = 6, 3
 #: Share of the varying text that a slot's child must hold to become the slot itself.
 SLOT_SHARE = 0.85
-#: Children that are aligned node by node; longer lists are matched in order by their tags.
+#: Share of the text outside of links that a child must hold to stand for a page without wrapper.
+MOST_SHARE = 0.7
+#: Children that are aligned node by node; longer lists are matched in order by their names.
 WIDE = 400
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -221,7 +227,10 @@ def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None) -> int
     if not x or not y:
         return 1
     if len(x) > WIDE or len(y) > WIDE:
-        got = [(p, q) for p, q in zip(x, y) if p.name == q.name]
+        names = [c.name for c in x], [c.name for c in y]
+        # beyond that many pairs, names that are common only extend what rarer ones align
+        blocks = difflib.SequenceMatcher(None, *names, autojunk=len(x) * len(y) > WIDE * WIDE * 10).get_matching_blocks()
+        got = [(x[a + k], y[b + k]) for a, b, n in blocks for k in range(n)]
         return 1 + sum(match(p, q, pairs) for p, q in got)
     w = [[match(p, q) if p.name == q.name else 0 for q in y] for p in x]
     m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
@@ -292,6 +301,28 @@ def induce(pages: list[str]) -> dict | None:
     return {"slot": path_of(at, frozenset(constant)), "constant": sorted(constant)}
 
 
+def most_text(root: Node) -> Node:
+    """The innermost block that holds ``MOST_SHARE`` of its parent's text outside of links, from the root down."""
+    weights: dict[int, int] = {}
+
+    def weigh(x: Node) -> int:
+        own = 0 if x.tag == "a" else len(joined([c for c in x.children if isinstance(c, str)]))
+        weights[id(x)] = 0 if x.tag == "a" else own + sum(weigh(c) for c in elements(x) if not dropped(c))
+        return weights[id(x)]
+
+    weigh(root)
+    at = root
+    while True:
+        parts = [c for c in elements(at) if not dropped(c)]
+        # a heading beside a part belongs to the text as well
+        if any(c.tag in ("h1", "h2", "h3") and weights[id(c)] for c in parts):
+            return at
+        best = max((c for c in parts if c.tag not in INLINE and c.tag not in LEAVES), key=lambda c: weights[id(c)], default=None)
+        if best is None or not weights[id(best)] or weights[id(best)] < MOST_SHARE * weights[id(at)]:
+            return at
+        at = best
+
+
 def extract(page: str | None, wrapper: dict | None = None) -> str:
     """The main text of a page, by its host's wrapper where there is one."""
     if not page:
@@ -305,7 +336,7 @@ def extract(page: str | None, wrapper: dict | None = None) -> str:
             x = todo.pop(0)
             node = x if x.tag in ("article", "main") and not dropped(x) else None
             todo += [c for c in elements(x) if not dropped(c)]
-        node = node or root
+        node = node or most_text(root)
     return joined(pieces(node, constant))
 
 
@@ -328,18 +359,45 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
+def template(text: Column) -> Column:
+    """A number for the names of a page's block elements, digits left out."""
+    names = F.regexp_extract_all(text, F.lit(r"""(?i)<((?:body|main|article|section|div|table|header|footer|nav|aside)(?=[\s>])(?:[^>]*?\sclass\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)"""), F.lit(1))
+    return F.xxhash64(F.array_sort(F.array_distinct(F.transform(names, lambda x: F.lower(F.concat(F.regexp_extract(x, r"^\w+", 0), F.lit(" "), F.regexp_replace(F.regexp_extract(x, r"(?i)\sclass\s*=\s*(.*)$", 1), "[0-9]", "")))))))
+
+
+def body(text: Column) -> Column:
+    """A number for the text of a page, without scripts, styles and marks."""
+    return F.xxhash64(F.regexp_replace(F.regexp_replace(text, r"(?is)<(script|style)\b.*?</\1", ""), r"<[^>]*>|\s+", " "))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(w_host, wrapper as JSON) of the hosts that have one. ``pages`` has page_id, host and html."""
-    order = Window.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id")
-    some = pages.where("host != '' and html is not null").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE)
-    return some.groupBy("host").agg(F.collect_list("html").alias("pages")).mapInArrow(_wrappers, "w_host string, wrapper string").where("wrapper is not null")
+    """(w_host, w_kind, wrapper as JSON) of the templates that have one; null is the kind of the whole host. ``pages`` has page_id, host, kind and html."""
+    told = pages.where("host != '' and html is not null").select("host", "kind", F.coalesce("page_id", F.lit(-1)).alias("id"), body(F.col("html")).alias("body"))
+    told = materialize(told.groupBy("host", "body").agg(F.min(F.struct("id", "kind")).alias("first")).select("host", "body", "first.id", "first.kind"), "bodies")
+
+    def taken(by: list[str], kind: Column) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(F.xxhash64("body"), "body")
+        return told.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE).select("host", kind.alias("w_kind"), "id", "body")
+
+    some = materialize(taken(["host", "kind"], F.col("kind")).union(taken(["host"], F.lit(None).cast("long"))), "taken")
+    some = maybe_broadcast(some.withColumnRenamed("host", "w_host"), some.count())
+    full = pages.where("html is not null").join(some, (F.col("host") == F.col("w_host")) & (F.coalesce("page_id", F.lit(-1)) == F.col("id")), "inner").where(body(F.col("html")) == F.col("body"))
+    # rows that repeat an id and its body are one page
+    once = full.groupBy("w_host", "w_kind", "body").agg(F.min("html").alias("html"))
+    kept = once.groupBy("w_host", "w_kind").agg(F.collect_list("html").alias("pages")).select(F.to_json(F.struct("w_host", "w_kind")).alias("w"), "pages")
+    made = kept.mapInArrow(_wrappers, "w_host string, wrapper string").where("wrapper is not null")
+    return made.select(F.from_json("w_host", "w_host string, w_kind long").alias("w"), "wrapper").select("w.*", "wrapper")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row for each page: id, url, text and n_chars."""
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host(F.col("url")))
+    p = p.withColumn("kind", template(F.col("html")))
     known = materialize(wrappers(p), "wrappers")
     size = known.agg(F.sum(F.length("wrapper") + F.length("w_host"))).first()[0] or 0
-    side = F.broadcast(known) if size <= BROADCAST_BYTES else known
-    full = p.join(side, F.col("host") == F.col("w_host"), "left").select("page_id", "url", "html", "wrapper")
+    side = F.broadcast if size <= BROADCAST_BYTES else lambda x: x
+    by_kind = known.where("w_kind is not null")
+    by_host = known.where("w_kind is null").select(F.col("w_host").alias("a_host"), F.col("wrapper").alias("any"))
+    full = p.join(side(by_kind), (F.col("host") == F.col("w_host")) & (F.col("kind") == F.col("w_kind")), "left").join(side(by_host), F.col("host") == F.col("a_host"), "left")
+    full = full.select("page_id", "url", "html", F.coalesce("wrapper", "any").alias("wrapper"))
     return full.mapInArrow(_texts, "page_id long, url string, text string, n_chars long").withColumnsRenamed({"page_id": id_col, "url": url_col})

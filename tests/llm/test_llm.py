@@ -198,6 +198,23 @@ def test_slot_is_not_the_first_of_its_name():
     assert html_extract.extract(make(9, "<div>Sale</div>"), w) == f"Story 9 {'word ' * 9}More 63"
 
 
+def test_wrappers_of_copies_and_templates(spark):
+    a = lambda i: f"<body><div class='n'>All our stories in one place</div><div class='b'><p>Story {i} {'word ' * (i % 9 + 3)}</p></div></body>"
+    b = lambda i: f"<body><div class='t'><p>Item {i} {'thing ' * (i % 7 + 3)}</p></div><div class='z'>Ask us for the price of it</div></body>"
+    pages = [a(0)] * 300 + [a(i) for i in range(1, 9)] + [b(i) for i in range(1, 9)]
+    d = spark.createDataFrame([(i, "http://h.com/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(d).collect()}
+    assert got[0] == got[299] == "Story 0 word word word" and len(got) == len(pages)
+    assert all(got[300 + i] == f"Story {i + 1} {'word ' * ((i + 1) % 9 + 3)}".strip() for i in range(8))
+    assert all(got[308 + i] == f"Item {i + 1} {'thing ' * ((i + 1) % 7 + 3)}".strip() for i in range(8))
+
+
+def test_most_text_and_long_lists():
+    assert html_extract.extract("<body><div><a href='/'>Home</a> <a href='/s'>Sport and all the rest of it</a></div><div><p>Long text of the only page there is.</p></div></body>") == "Long text of the only page there is."
+    x, y = ("".join(f"<{t}>{k}</{t}>" for k, t in enumerate(ts)) for ts in (["p"] * 450, ["h4"] + ["p"] * 450))
+    assert html_extract.match(html_extract.parse(x), html_extract.parse(y)) == 451
+
+
 def test_pages_match_their_article(spark):
     p = spark.read.parquet(f"{DATA}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html_extract.main_text(p).collect()}
