@@ -17,6 +17,10 @@ sets the thresholds: a document is rejected where its perplexity exceeds ``margi
 of those of its language. Languages without any take the quantile over all of them, and where no
 trusted document was left out, all trusted documents serve.
 
+Characters do not tell a run of one good word from text, so words have a score of their own: the largest
+share of words that equal the word one, two or three places before, smoothed by ``PRIOR_WORDS`` words of
+the trusted mean. It has a threshold of the same kind, of ``LEAST_REPEATS`` or more.
+
 Edge cases: null and empty texts have no perplexity (null) and are kept, as nothing speaks against
 them; a null language is a language of its own; without any trusted text no document is rejected;
 repeated ids are scored row by row.
@@ -24,6 +28,7 @@ repeated ids are scored row by row.
 
 from __future__ import annotations
 
+import operator
 import zlib
 from collections.abc import Iterator
 
@@ -39,6 +44,10 @@ ORDER = 4
 #: Symbols of the trusted mean that each document's score is smoothed with.
 PRIOR = 60
 QUANTILE, MARGIN = 0.995, 1.1
+#: Words of the trusted mean that the share of repeated words is smoothed with, and a share that is never too much.
+PRIOR_WORDS, LEAST_REPEATS = 12, 0.1
+#: Distances at which words are compared.
+LAGS = (1, 2, 3)
 #: One in so many trusted documents sets the thresholds; the others train the model.
 HOLD = 4
 #: Characters of a block, and of the texts that are looked up together.
@@ -162,9 +171,14 @@ def probabilities(counted: DataFrame, order: int) -> DataFrame:
     return p.join(counted, "gram").select("gram", "n", "p")
 
 
+def repeats(words: list[str]) -> int:
+    """The most words that equal the one at any of ``LAGS`` before."""
+    return max(sum(map(operator.eq, words, words[k:])) for k in LAGS)
+
+
 def _score(order: int, mean: float):
     def run(block: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        out = {"id": [], "lang": [], "perplexity": []}
+        out = {"id": [], "lang": [], "perplexity": [], "words": [], "repeated": []}
         if len(known):
             code = np.frombuffer("".join(known["gram"]).encode("utf-32-le"), dtype=np.uint32).reshape(-1, order)
             keys = np.array(np.concatenate([hashes(code[at : at + PART_CHARS].reshape(-1), order)[::order] for at in range(0, len(code), PART_CHARS)]))
@@ -176,6 +190,9 @@ def _score(order: int, mean: float):
                 text, at = data[at : at + size].decode("utf-8"), at + size
                 out["id"].append(i)
                 out["lang"].append(lang)
+                words = text.split()
+                out["words"].append(len(words))
+                out["repeated"].append(repeats(words))
                 if not text:
                     out["perplexity"].append(None)
                     continue
@@ -184,13 +201,13 @@ def _score(order: int, mean: float):
                 for b in range(0, n, PART_CHARS):
                     got += logs[np.searchsorted(keys, h[b : b + PART_CHARS])].sum()
                 out["perplexity"].append(float(np.exp(-(got + PRIOR * mean) / (n + PRIOR))))
-        return pd.DataFrame({"id": pd.array(out["id"], dtype="Int64"), "lang": pd.Series(out["lang"], dtype=object), "perplexity": pd.Series(out["perplexity"], dtype="float64").astype(object).where(lambda s: s.notna(), None)})
+        return pd.DataFrame({"id": pd.array(out["id"], dtype="Int64"), "lang": pd.Series(out["lang"], dtype=object), "perplexity": pd.Series(out["perplexity"], dtype="float64").astype(object).where(lambda s: s.notna(), None), "words": out["words"], "repeated": out["repeated"]})
 
     return run
 
 
 def perplexities(src: DataFrame, order: int = ORDER) -> DataFrame | None:
-    """(id, lang, perplexity) of rows (id, lang, known, text) under the model of the known rows; None where those have no text."""
+    """(id, lang, perplexity, words, repeated) of rows (id, lang, known, text) under the model of the known rows; None where those have no text."""
     chars = src.agg(F.sum(F.char_length("text"))).first()[0] or 0
     buckets = min(1 + chars // BLOCK_CHARS, MAX_BUCKETS)
     blocks = materialize_buckets(src.select("id", "lang", "known", "text").mapInArrow(_blocks(order), _BLOCK), "blocks", "block", buckets)
@@ -203,28 +220,32 @@ def perplexities(src: DataFrame, order: int = ORDER) -> DataFrame | None:
     model = materialize(probabilities(counted, order).select("gram", "n", F.log("p").cast("float").alias("logp")), "model")
     mean = model.agg(F.sum(F.col("n") * F.col("logp"))).first()[0] / total
     told = grams.select(F.col("block").alias("place"), "gram").join(model.select("gram", "logp"), "gram")
-    out = blocks.select("block", "docs", "ids", "langs", "sizes").groupBy("block").cogroup(told.groupBy("place")).applyInPandas(_score(order, mean), "id long, lang string, perplexity double")
+    out = blocks.select("block", "docs", "ids", "langs", "sizes").groupBy("block").cogroup(told.groupBy("place")).applyInPandas(_score(order, mean), "id long, lang string, perplexity double, words long, repeated long")
     out = materialize(out, "perplexity")
     drop(blocks)
     return out
 
 
 def quality(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, order: int = ORDER) -> DataFrame:
-    """A row for each row of ``docs``: id, lang, perplexity, threshold and kept; ``trusted`` holds the ids of trusted text."""
+    """A row for each row of ``docs``: id, lang, perplexity, threshold, repeats, repeats_threshold and kept; ``trusted`` holds the ids of trusted text."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     ids = trusted.select(F.col(trusted.columns[0]).cast("long").alias("id")).where("id is not null").distinct()
     ids = ids.withColumn("held", F.pmod(F.xxhash64("id"), F.lit(HOLD)) == 0)
     trains = maybe_broadcast(ids.where("not held").select("id", F.lit(True).alias("known")), n := ids.count())
     scored = perplexities(src.join(trains, "id", "left"), order)
     if scored is None:
-        return src.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
+        return src.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("double").alias("repeats"), F.lit(None).cast("double").alias("repeats_threshold"), F.lit(True).alias("kept"))
+    said = scored.join(maybe_broadcast(ids, n), "id").agg(F.sum("repeated") / F.sum("words")).first()[0] or 0.0
+    scored = scored.withColumn("repeats", (F.col("repeated") + F.lit(PRIOR_WORDS * said)) / (F.col("words") + F.lit(PRIOR_WORDS)))
     cut = F.percentile_approx("perplexity", quantile, 10000) * F.lit(margin)
-    fit = scored.join(maybe_broadcast(ids, n), "id")
+    cut_repeats = F.greatest(F.percentile_approx("repeats", quantile, 10000) * F.lit(margin), F.lit(LEAST_REPEATS))
+    fit = scored.join(maybe_broadcast(ids, n), "id").where("perplexity is not null")
     held = fit.where("held")
-    every = held.agg(cut.alias("any")).first()["any"]
-    if every is None:
+    every = held.agg(cut.alias("any"), cut_repeats.alias("repeats")).first()
+    if every["any"] is None:
         held = fit
-        every = fit.agg(cut.alias("any")).first()["any"]
-    by_lang = held.groupBy("lang").agg(cut.alias("cut")).select(F.col("lang").alias("l"), "cut")
-    out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("threshold", F.coalesce("cut", F.lit(every)))
-    return out.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+        every = fit.agg(cut.alias("any"), cut_repeats.alias("repeats")).first()
+    by_lang = held.groupBy("lang").agg(cut.alias("cut"), cut_repeats.alias("cut_repeats")).select(F.col("lang").alias("l"), "cut", "cut_repeats")
+    out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").withColumns({"threshold": F.coalesce("cut", F.lit(every["any"])), "repeats_threshold": F.coalesce("cut_repeats", F.lit(every["repeats"]))})
+    kept = F.coalesce((F.col("perplexity") <= F.col("threshold")) & (F.col("repeats") <= F.col("repeats_threshold")), F.lit(True))
+    return out.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "perplexity", "threshold", "repeats", "repeats_threshold", kept.alias("kept"))

@@ -403,6 +403,13 @@ def test_quality_keeps_clean_documents(spark):
     assert [r["kept"] for r in odd.collect()] == [True] * 3
 
 
+def test_quality_rejects_runs_of_good_words(spark):
+    d, lab = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    runs = docs_of(spark, ["Der " * 40, "The " * 6 + "As " * 30, "The old " * 30], lang="de").withColumn("doc_id", F.col("doc_id") + 10**9)
+    got = quality.quality(d.unionByName(runs), lab.where("quality = 1").select("doc_id")).where("doc_id >= 1000000000").collect()
+    assert [r["kept"] for r in got] == [False] * 3
+
+
 def test_toxicity_on_held_out_rows(spark):
     big = "/root/testdata/sf0.01"
     d, lab = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
