@@ -7,15 +7,17 @@ Of each (document, item) that shares windows, a run of them at one offset covers
 Its slots must agree: within the run, one placeholder value of the item always stands for one value
 of the document and the other way round, so that a question with other numbers, names or units is
 caught while a chance meeting of placeholders is not. A pair is reported where agreeing windows cover
-``coverage`` or more of the item's windows.
+``coverage`` or more of the item's words, or where ``LONG`` or more words of it agree in one run. Items
+of less than 25 words have shorter windows, a third of their words but ``LEAST`` at least, so that one
+changed word leaves enough windows on its sides.
 
 The benchmark's windows are broadcast as a sorted array where they are at most ``MAX_WINDOWS``; beyond
 that, windows of documents and of the benchmark are joined by a shuffle on their hash. Both ways end
 in the same check of template words and slots against the item, which needs the items' texts: those
 are broadcast with the windows, or joined by item.
 
-Edge cases: items shorter than a window are one window of what they have, if that is ``SHORTEST``
-words or more; null and empty texts match nothing; equal items are all reported.
+Edge cases: items of less than ``WINDOW`` words are one window of what they have, if that is
+``SHORTEST`` words or more; null and empty texts match nothing; equal items are all reported.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import fold
 
-WINDOW, SHORTEST, COVERAGE = 8, 5, 0.6
+WINDOW, SHORTEST, LEAST, LONG, COVERAGE = 8, 5, 3, 20, 0.6
 #: Windows of the benchmark that may be broadcast (16 bytes each, and their items' texts).
 MAX_WINDOWS = 2_000_000
 
@@ -87,15 +89,19 @@ def template(text: str | None, cache: _Word) -> tuple[np.ndarray, np.ndarray]:
     return shape, np.where(number | unit | name, value, np.uint64(0))
 
 
+def width(words: int) -> int:
+    """Words of the windows of an item."""
+    return words if words < WINDOW else max(LEAST, min(WINDOW, (words - 1) // 3))
+
+
 def windows(shape: np.ndarray) -> np.ndarray:
-    if len(shape) >= WINDOW:
-        return fold(shape, WINDOW)
-    return fold(shape, len(shape)) if len(shape) >= SHORTEST else np.empty(0, np.uint64)
+    return fold(shape, width(len(shape))) if len(shape) >= SHORTEST else np.empty(0, np.uint64)
 
 
-def covered(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray], starts: list[tuple[int, int]]) -> int:
-    """Item windows at ``starts`` (item position, document position) whose slots agree along their offset; the most of any offset's."""
-    size = min(WINDOW, len(item[0]))
+def covered(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarray], starts: list[tuple[int, int]]) -> tuple[int, int, int]:
+    """Item windows at ``starts`` (item position, document position) whose slots agree along their offset, and the words they
+    cover; the most of any offset's and those near it. Then the longest run of words at one offset."""
+    size = width(len(item[0]))
     by_offset: dict[int, set[int]] = {}
     for p, q in starts:
         by_offset.setdefault(q - p, set()).add(p)
@@ -114,8 +120,17 @@ def covered(item: tuple[np.ndarray, np.ndarray], doc: tuple[np.ndarray, np.ndarr
                 back.update((y, x) for x, y in slots)
                 ok.add(p)
         seen[offset] = ok
-    near = [set().union(*(v for k, v in seen.items() if abs(k - offset) <= size)) for offset in seen]
-    return max(map(len, near), default=0)
+    near = [set().union(*(v for k, v in seen.items() if abs(k - offset) <= WINDOW)) for offset in seen]
+    words = [len({w for p in places for w in range(p, p + size)}) for places in near]
+    run = 0
+    for ok in seen.values():
+        first = last = None
+        for p in sorted(ok):
+            if last is None or p > last + size:
+                first = p
+            last = p
+            run = max(run, last + size - first)
+    return max(map(len, near), default=0), max(words, default=0), run
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -131,7 +146,7 @@ def _match_broadcast(items: list[tuple[int, str]], coverage: float):
     place = np.concatenate([np.empty(0, np.int64), *[np.arange(len(w)) for w in wins]]).astype(np.int64)
     order = np.argsort(keys, kind="stable")
     keys, owner, place = keys[order], owner[order], place[order]
-    short = sorted({len(m[0]) for _, m in made if SHORTEST <= len(m[0]) < WINDOW})
+    sizes = sorted({width(len(m[0])) for _, m in made if len(m[0]) >= SHORTEST})
     total = [len(w) for w in wins]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +155,7 @@ def _match_broadcast(items: list[tuple[int, str]], coverage: float):
             ids, texts, out = batch.column(0), batch.column(1), []
             for at in range(len(texts)):
                 doc = template(texts[at].as_py(), cache)
-                for size in [WINDOW, *short]:
+                for size in sizes:
                     if len(doc[0]) < size:
                         continue
                     h = fold(doc[0], size)
@@ -149,10 +164,11 @@ def _match_broadcast(items: list[tuple[int, str]], coverage: float):
                     found: dict[int, list[tuple[int, int]]] = {}
                     for q in hit:
                         for j in range(lo[q], np.searchsorted(keys, h[q], "right")):
-                            if min(WINDOW, len(made[owner[j]][1][0])) == size:
+                            if width(len(made[owner[j]][1][0])) == size:
                                 found.setdefault(owner[j], []).append((int(place[j]), int(q)))
                     for k, starts in found.items():
-                        if (n := covered(made[k][1], doc, starts)) >= coverage * total[k]:
+                        n, words, run = covered(made[k][1], doc, starts)
+                        if words >= coverage * len(made[k][1][0]) or run >= LONG:
                             out.append((ids[at].as_py(), made[k][0], n, total[k]))
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "windows", "item_windows"])
@@ -160,17 +176,21 @@ def _match_broadcast(items: list[tuple[int, str]], coverage: float):
     return run
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, owner) for each distinct window of each row, for the way without a broadcast."""
-    cache = _Word()
-    for batch in batches:
-        key, owner = [], []
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-            shape = template(t.as_py(), cache)[0]
-            w = np.unique(np.concatenate([windows(shape), *[fold(shape, k) for k in range(SHORTEST, WINDOW) if len(shape) >= k]]))
-            key.append(w.view(np.int64))
-            owner.append(np.full(len(w), i if i is not None else -1, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *key])), pa.array(np.concatenate([np.empty(0, np.int64), *owner]))], names=["key", "owner"])
+def _emit(sizes: list[int] | None):
+    """(key, owner) for each distinct window of each row, of ``sizes`` or of an item's own, for the way without a broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Word()
+        for batch in batches:
+            key, owner = [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                shape = template(t.as_py(), cache)[0]
+                w = np.unique(np.concatenate([np.empty(0, np.uint64), *[fold(shape, k) for k in sizes if len(shape) >= k]]) if sizes is not None else windows(shape))
+                key.append(w.view(np.int64))
+                owner.append(np.full(len(w), i if i is not None else -1, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *key])), pa.array(np.concatenate([np.empty(0, np.int64), *owner]))], names=["key", "owner"])
+
+    return run
 
 
 def _check_pairs(coverage: float):
@@ -187,15 +207,15 @@ def _check_pairs(coverage: float):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """(doc_id, item_id, windows, item_windows) of each document that holds an item, to ``coverage`` of its windows."""
+    """(doc_id, item_id, windows, item_windows) of each document that holds an item, to ``coverage`` of its words or a run of ``LONG``."""
     items = _items(benchmark, item_col, item_text)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, windows long, item_windows long"
     size = items.agg(F.count(F.lit(1)), F.sum(F.size(F.split("item_text", r"\s+")))).first()
     if (size[1] or 0) <= max_windows:
         return src.mapInArrow(_match_broadcast([tuple(r) for r in items.collect()], coverage), schema).distinct()
-    ours = items.mapInArrow(_emit, "key long, owner long").withColumnRenamed("owner", "item_id")
-    theirs = src.where("id is not null").mapInArrow(_emit, "key long, owner long").withColumnRenamed("owner", "id")
+    ours = items.mapInArrow(_emit(None), "key long, owner long").withColumnRenamed("owner", "item_id")
+    theirs = src.where("id is not null").mapInArrow(_emit(list(range(LEAST, WINDOW + 1))), "key long, owner long").withColumnRenamed("owner", "id")
     pairs = theirs.join(ours, "key").select("id", "item_id").distinct()
     full = pairs.join(src, "id").join(items, "item_id").select("id", "text", "item_id", "item_text")
     return full.mapInArrow(_check_pairs(coverage), schema).distinct()

@@ -127,6 +127,22 @@ def test_finds_reparameterised_items(spark):
     assert decontaminate.contaminated(docs_of(spark, []), bench).count() == 0 and decontaminate.contaminated(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_finds_changed_short_items_and_long_parts(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    items = [[word() for _ in range(n)] for n in (8, 11, 14, 20, 26)] + [[word() for _ in range(59)]]
+    texts, want = [], set()
+    for k, item in enumerate(items[:-1]):
+        for at in range(len(item)):
+            want.add((len(texts), k))
+            texts.append(" ".join([word() for _ in range(9)] + item[:at] + ["changed"] + item[at + 1 :] + [word()]))
+    want.add((len(texts), 5))
+    texts += [" ".join([word() for _ in range(30)] + items[-1][10:40]), " ".join(items[-1][10:22])]
+    bench = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string")
+    for most in (10**6, 0):
+        assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs_of(spark, texts), bench, max_windows=most).collect()} == want
+
+
 def test_slots_must_agree(spark):
     item = "Add 5 apples to 7 pears then take 5 apples from 7 pears again please now"
     bad = "Add 1 apples to 2 pears then take 3 apples from 4 pears again please now"
