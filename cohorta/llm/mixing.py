@@ -16,6 +16,8 @@ scaled up; rows that agree in id, source and text get the same count; a rate of
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,16 +27,23 @@ SEED = 20240607
 
 
 def poisson_quantile(rate: Column, u: Column) -> Column:
-    """Smallest k whose cumulative Poisson probability reaches u, for rates of up to a few hundred."""
-    most = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.when(F.exp(-rate) >= u, 0).otherwise(1).alias("k"))
+    """Smallest k whose cumulative Poisson probability reaches u. Beyond a rate of 700, where exp(-rate) comes near its
+    underflow, the sum starts 12 standard deviations below the mean, with that term from Stirling's series; what lies
+    before it is less than 1e-30."""
+    most = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("long")
+    large = rate > 700
+    low = F.when(large, F.floor(rate - 12 * F.sqrt(rate) - 20)).otherwise(0).cast("long")
+    x = F.when(large, low.cast("double")).otherwise(1.0)
+    log_first = x * F.log(rate / x) + x - rate - F.log(2 * math.pi * x) / 2 - 1 / (12 * x) + 1 / (360 * x * x * x)
+    first = F.when(large, F.exp(log_first)).otherwise(F.exp(-rate))
+    start = F.struct(first.alias("p"), first.alias("cdf"), F.when(first >= u, low).otherwise(low + 1).alias("k"))
 
     def step(s: Column, i: Column) -> Column:
         p = s["p"] * rate / i
         cdf = s["cdf"] + p
         return F.struct(p.alias("p"), cdf.alias("cdf"), F.when(cdf >= u, s["k"]).otherwise(s["k"] + 1).alias("k"))
 
-    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda s: s["k"])
+    return F.aggregate(F.sequence(low + 1, most), start, step, lambda s: s["k"])
 
 
 def rates(docs: DataFrame, weights: dict[str, float], source_col: str = "source", total: int | None = None) -> tuple[DataFrame, int]:

@@ -102,6 +102,14 @@ def test_poisson_counts(spark):
         assert k.mean() == pytest.approx(rate, rel=0.02, abs=0.01) and k.var() == pytest.approx(rate, rel=0.05, abs=0.02)
 
 
+def test_poisson_counts_of_large_rates(spark):
+    u = spark.range(400).select(((F.col("id") + 0.5) / 400).alias("u"))
+    for rate in (699.0, 701.0, 800.0, 5000.0, 200000.0):
+        k = np.array([r[0] for r in u.select(mixing.poisson_quantile(F.lit(rate), F.col("u"))).collect()])
+        assert k.mean() == pytest.approx(rate, rel=0.001) and k.var() == pytest.approx(rate, rel=0.05)
+        assert (np.diff(k) >= 0).all()
+
+
 def test_mix_reaches_weights(spark):
     d = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise("b").alias("source"), F.lit(1).alias("mix_x"))
     out = mixing.mix(d, {"hot": 0.6, "absent": 0.1})
