@@ -6,6 +6,9 @@ distrusted. Host edges are counted from the absolute links of the pages, pre-agg
 links inside a host are left out. A host is blocked where its distrust exceeds ``threshold`` times its
 trust; a host that neither reaches is allowed.
 
+Ranks are iterated until none changes by more than ``TOLERANCE`` of itself; a host that is reached first
+in a round changes by all of it, so no host is too many links away.
+
 The iterations are joins of the edge table with the current ranks; only the small per-host table is
 written between them. A hot host only has many edges, which are split by the join's other key: the
 sums are pre-aggregated on each task.
@@ -19,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize
 
-DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 1.0
+DAMPING, THRESHOLD = 0.85, 1.0
+#: Share of its rank by which no host's may still change when the iteration ends.
+TOLERANCE = 1e-6
 
 #: (verdict, host, path) of the shipped rules.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -55,7 +60,7 @@ def host_edges(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return found.select("src", host(F.concat(F.lit(":"), "link")).alias("dst")).where("src != dst and src != '' and dst != ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, rank): PageRank over ``edges`` (src, dst, n) whose restarts follow ``seeds`` (host, mass); ranks of nothing are left out."""
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     share = materialize(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")), "share")
@@ -63,10 +68,16 @@ def page_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     rank = start.select("host", F.col("mass").alias("rank"))
     if share.isEmpty():
         return rank
-    for i in range(rounds):
-        moved = share.join(rank.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+    change, i, last = 1.0, 0, None
+    while change > tolerance:
+        moved = share.join(rank.select(F.col("host").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         new = start.join(moved, "host", "full_outer").select("host", (F.lit(1 - damping) * F.coalesce("mass", F.lit(0.0)) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        rank = materialize(new, f"rank{i}")
+        # ranks that underflow to 0 are those of hosts that nothing reaches
+        new = materialize(new.where("rank > 0").join(rank.withColumnRenamed("rank", "old"), "host", "left"), f"rank{i}")
+        change = new.agg(F.max(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0))) / F.col("rank"))).first()[0] or 0.0
+        if last is not None:
+            drop(last)
+        rank, last, i = new.select("host", "rank"), new, i + 1
     return rank
 
 

@@ -358,6 +358,24 @@ def test_distrust_flows_against_links(spark):
     assert got == {"bad.com": "block", "friend.net": "block", "good.org": "allow", "fine.net": "allow"}
 
 
+def test_distrust_reaches_far_hosts(spark):
+    link = lambda h: f'<a href="http://{h}/">x</a>'
+    rows = [(0, "http://bad.com/de/1", ""), (1, "http://h1.net/", link("bad.com"))] + [(i, f"http://h{i}.net/", link(f"h{i - 1}.net")) for i in range(2, 13)]
+    got = {r["host"]: r for r in urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(r["verdict"] == "block" for r in got.values())
+    assert got["h12.net"]["distrust"] == pytest.approx(0.15 * 0.85**12)
+
+
+def test_ranks_are_at_the_fixed_point(spark):
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "b")]
+    got = {r["host"]: r["rank"] for r in urlfilter.page_rank(spark.createDataFrame([(*e, 1) for e in edges], "src string, dst string, n long"), spark.createDataFrame([("a", 1.0)], "host string, mass double")).collect()}
+    m = np.zeros((4, 4))
+    for x, y in edges:
+        m["abcd".index(y), "abcd".index(x)] = 1 / sum(e[0] == x for e in edges)
+    want = np.linalg.solve(np.eye(4) - 0.85 * m, [0.15, 0, 0, 0])
+    assert [got[h] for h in "abcd"] == pytest.approx(list(want), rel=1e-5)
+
+
 # ---- quality and toxicity ----
 
 
