@@ -10,7 +10,9 @@ member after them, which ends so in any case.
 Reading: archives are read whole by Spark's binary reader, each by one task, so they are kept to
 ``ARCHIVE_BYTES``. A member whose inflation, header, length or digest fails is quarantined: the reader
 searches on for the next gzip member or ``WARC/1.`` line that begins a valid record, reports the gap's
-bytes and cause, and goes on from there.
+bytes and cause, and goes on from there. Inside a member, whole records before and after a bad one are
+kept; so are those that were inflated before a member breaks, if their block digest shows them right, or
+before it is cut short. A record that ends exactly where such a member's bytes end is not kept.
 
 Edge cases: a null html is an empty payload; rows that repeat a page id and its payload are all
 responses if that id is the smallest; a null page id never becomes the response of others while there
@@ -121,12 +123,23 @@ def salvage(data: bytes) -> Iterator[tuple]:
         got, end, cause = [], at, ""
         if data.startswith(_MAGIC, at):
             plain, end, cause = _inflate(data, at)
-            place = 0
-            while not cause and place < len(plain):
-                head, block, after, cause = _parse(plain, place)
-                if not cause:
+            place, fault = 0, ""
+            while place < len(plain):
+                head, block, after, wrong = _parse(plain, place)
+                # in a damaged member, a record that ends with what was inflated is not set off from the fault
+                if not wrong and not (cause and after == len(plain)) and (cause != "member broken" or head.get("warc-block-digest", "").startswith("sha256:")):
                     got.append((head, block))
                     place = after
+                    continue
+                fault = fault or wrong or cause
+                line = _VERSION.search(plain, place + 1)
+                place = line.start() if line else len(plain)
+            if fault and not cause:
+                # the member is whole: its bad records are its gap, and the search goes on behind it
+                if bad is not None:
+                    yield "gap", bad, at, why
+                    bad = None
+                yield "gap", at, end, fault
         elif _VERSION.match(data, at):
             head, block, end, cause = _parse(data, at)
             got = [] if cause else [(head, block)]
@@ -157,12 +170,27 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
     try:
         plain = unpack.decompress(memoryview(data)[at:])
     except zlib.error:
-        return b"", at, "member broken"
+        return _before_fault(data, at), at, "member broken"
     if not unpack.eof:
-        return b"", at, "member cut short"
+        return plain, at, "member cut short"
     return plain, len(data) - len(unpack.unused_data), ""
 
 
+def _before_fault(data: bytes, at: int) -> bytes:
+    """What a broken member gives before its fault: in pieces, the last of them byte by byte."""
+    unpack, out, piece = zlib.decompressobj(31), [], 4096
+    while at < len(data):
+        kept = unpack.copy() if piece > 1 else None
+        try:
+            out.append(unpack.decompress(data[at : at + piece]))
+            at += piece
+        except zlib.error:
+            if piece == 1:
+                break
+            unpack, piece = kept, 1
+    return b"".join(out)
+
+
 READ_SCHEMA = "archive string, offset long, length long, gap string, record_type string, page_id long, url string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 
 

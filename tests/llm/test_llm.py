@@ -197,6 +197,21 @@ def test_salvage_goes_on_after_damage():
     assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"junk"))[0][0] == "gap"
 
 
+def test_salvage_inside_a_member():
+    rng = random.Random(2)
+    made = [warc.record(i, "u", bytes(rng.randrange(256) for _ in range(3000)), "", None) for i in range(6)]
+    bad = made[2].replace(b"Content-Length: 3", b"Content-Length: 9", 1)
+    pages = lambda data: [x[3]["x-page"] for x in warc.salvage(data) if x[0] == "record"]
+    whole = warc._member(b"".join([*made[:2], bad, *made[3:]]))
+    assert pages(whole + warc._member(made[2])) == ["0", "1", "3", "4", "5", "2"]
+    assert [x[1:3] for x in warc.salvage(whole) if x[0] == "gap"] == [(0, len(whole))]
+    one = warc._member(b"".join(made))
+    hurt = bytearray(one)
+    hurt[len(one) * 3 // 4] ^= 0xFF
+    assert pages(bytes(hurt))[:4] == ["0", "1", "2", "3"] and pages(one[: len(one) // 2])[:2] == ["0", "1"]
+    assert [x[1:3] for x in warc.salvage(bytes(hurt)) if x[0] == "gap"][0][0] == 0
+
+
 # ---- main text ----
 
 
