@@ -7,8 +7,11 @@ a gzip member ends with the top byte of its length, which is 0 for anything belo
 line separator is a 0 byte and each line is a member without its last byte. Longer members get an empty
 member after them, which ends so in any case.
 
-Reading: archives are read whole by Spark's binary reader, each by one task, so they are kept to
-``ARCHIVE_BYTES``. A member whose inflation, header, length or digest fails is quarantined: the reader
+Only digests are shuffled to find equal payloads; the pages themselves are packed where they are scanned,
+and joined with the payloads that occur more than once, which are broadcast up to a checked number.
+
+Reading: archives are read whole by Spark's binary reader, each by one task, so a new one is begun after
+as many records as come to ``ARCHIVE_BYTES`` of payloads on average; none holds more than one task's pages. A member whose inflation, header, length or digest fails is quarantined: the reader
 searches on for the next gzip member or ``WARC/1.`` line that begins a valid record, reports the gap's
 bytes and cause, and goes on from there. Inside a member, whole records before and after a bad one are
 kept; so are those that were inflated before a member breaks, if their block digest shows them right, or
@@ -16,7 +19,8 @@ before it is cut short. A record that ends exactly where such a member's bytes e
 
 Edge cases: a null html is an empty payload; rows that repeat a page id and its payload are all
 responses if that id is the smallest; a null page id never becomes the response of others while there
-is another; archives without a valid record give gaps only.
+is another; archives without a valid record give gaps only; an empty table gives archives without
+records; other columns of ``pages`` are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +32,15 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize, maybe_broadcast
+
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 16 << 20
+#: Bytes of an archive that are inflated at once.
+SLICE = 1 << 16
 _EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00" + b"\x00" * 8
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -72,21 +80,29 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["line"])
 
 
-def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, html, digest, refers_to): what each page is written as."""
+def _payloads(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    p = p.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
-    first = p.where(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"))
-    return p.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")) & F.col("first").isNotNull(), F.col("first")).alias("refers_to"))
+    return p.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
+
+
+def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, int]:
+    """(page_id, url, html, digest, refers_to): what each page is written as; and the mean bytes of the payloads."""
+    p = _payloads(pages, id_col, url_col, html_col)
+    told = p.select("page_id", "digest", F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"))
+    by = told.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    by = materialize(by.select("digest", "first", "n", "bytes"), "payloads")
+    rows, size = by.agg(F.sum("n"), F.sum("bytes")).first()
+    # payloads of one page refer to nothing, whatever their length
+    again = by.where((F.col("n") > 1) & (F.col("bytes") >= MIN_REVISIT * F.col("n")) & F.col("first").isNotNull()).select("digest", "first")
+    joined = p.join(maybe_broadcast(again, again.count()), "digest", "left")
+    return joined.select("page_id", "url", "html", "digest", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to")), -(-(size or 0) // (rows or 1))
 
 
 def write_warc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, **columns: str) -> None:
     """Write every row of ``pages`` as a record of the archives in ``path``."""
-    spark, planned = pages.sparkSession, plan(pages, **columns)
-    size = planned.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    # packed records are smaller than their html, so archives stay below the bound but for single long records
-    lines = planned.repartition(max(1, -(-size // archive_bytes), spark.sparkContext.defaultParallelism)).mapInArrow(_lines, "line binary")
-    lines.select(F.col("line").cast("string").alias("value")).write.option("lineSep", "\x00").text(path)
+    planned, mean = plan(pages, **columns)
+    lines = planned.mapInArrow(_lines, "line binary").select(F.col("line").cast("string").alias("value"))
+    lines.write.option("lineSep", "\x00").option("maxRecordsPerFile", max(1, archive_bytes // max(mean, 1))).text(path)
 
 
 def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int, str]:
@@ -166,14 +182,16 @@ def salvage(data: bytes) -> Iterator[tuple]:
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
-    unpack = zlib.decompressobj(31)
+    unpack, out, place = zlib.decompressobj(31), [], at
     try:
-        plain = unpack.decompress(memoryview(data)[at:])
+        while not unpack.eof and place < len(data):
+            out.append(unpack.decompress(data[place : place + SLICE]))
+            place += SLICE
     except zlib.error:
         return _before_fault(data, at), at, "member broken"
     if not unpack.eof:
-        return plain, at, "member cut short"
-    return plain, len(data) - len(unpack.unused_data), ""
+        return b"".join(out), at, "member cut short"
+    return b"".join(out), min(place, len(data)) - len(unpack.unused_data), ""
 
 
 def _before_fault(data: bytes, at: int) -> bytes:
