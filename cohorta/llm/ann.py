@@ -7,39 +7,48 @@ perturbed ones in the order of their estimated success, the sum of squared dista
 that are crossed (Lv et al., 2007); all vectors are indexed.
 
 How far a query must look follows from the data. The exact neighbours of ``PILOTS`` queries, from one scan,
-tell for each number of hashes how many probes find the share ``recall`` of them, and a sample of the
-vectors what those probes would read. The cheapest way is taken. Where none reads less than all vectors,
-or reaches the share, all are scanned, block of queries by block of queries, which is exact. A query's
-``k + 1``-th best score in the sample bounds its neighbours' from below, so neither way passes on more.
+tell for each of ``WAYS`` (tables and width) and number of hashes how many probes find the share ``recall``
+of them, and a sample of the vectors what those probes would read. The cheapest way is taken: few wide
+tables where neighbours lie hardly closer than other vectors, many narrow ones where they lie close. Only
+where no way reaches the share are all vectors scanned, block of queries by block of queries. A query that
+meets fewer than ``k`` others in its buckets is answered by such a scan as well. A query's ``k + 1``-th best
+score in the sample bounds its neighbours' from below, so no way passes on more.
 
 Equal vectors are one entry with their ``k + 1`` smallest ids, which is all that any list can show of them.
-Buckets are met block by block of ``BLOCK`` entries, so no task holds more than that of one bucket; each
-block gives its best of a query, tables are merged, and the best are ranked again by exact inner products
-in double precision.
+Buckets are met block by block of ``BLOCK`` entries and ``ASKED`` queries, so no task holds more than that
+of one bucket; each block gives its best of a query and what ties with the last of them, tables are merged,
+and the best are ranked again by exact inner products in double precision.
 
 Edge cases: null vectors, zero ones, and those with null or non-finite components or not of the most
-common length take no part; with fewer than k candidates found, all of them are returned.
+common length take no part, nor do rows with a null id; with fewer than k candidates in the table, all of
+them are returned; rows that repeat an id are candidates of their own and one query; an empty table gives
+no rows; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize, mix64
 
 K = 20
-TABLES, WIDTH, BUCKET, BLOCK = 4, 1.0, 2500, 4096
+BLOCK, ASKED = 4096, 2048
+#: (tables, width) that are tried.
+WAYS = ((1, 3.0), (1, 2.0), (2, 2.0), (2, 1.0), (4, 1.0), (4, 0.5))
+#: Entries that a bucket holds at least, on average; it limits the hashes that are tried.
+BUCKET = 64
 #: Share of the neighbours that the pilot queries must find, above the 0.9 that is asked for as it is an estimate.
 RECALL, PILOTS = 0.95, 200
-#: Bytes of the vectors that bound the scores and stand for all in estimates, and of the queries of one scan.
-SAMPLE_BYTES, SCAN_BYTES = 32 << 20, 16 << 20
+#: Bytes of the vectors that bound the scores and stand for all in estimates (and their share of all, at most), of the queries of one scan.
+SAMPLE_BYTES, SAMPLE_SHARE, SCAN_BYTES = 8 << 20, 0.125, 16 << 20
 #: What a probe costs beside the vectors that it reads, in vectors.
-PROBE_COST = 2000
+PROBE_COST = 200
 #: Scores gathered before they are cut to the best.
 HELD = 2_000_000
 SEED = 7
@@ -64,16 +73,24 @@ def _lift(x: np.ndarray, largest: float) -> np.ndarray:
 
 
 def _keys(h: np.ndarray) -> np.ndarray:
-    """One number for the hashes along the last axis."""
-    key = np.zeros(h.shape[:-1], dtype=np.int64)
+    """One number for the hashes along the last axis; every hash changes all of its bits."""
+    key = np.full(h.shape[:-1], h.shape[-1], dtype=np.uint64)
     for j in range(h.shape[-1]):
-        key = key * 1024 + (h[..., j].astype(np.int64) & 1023)
-    return key
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + h[..., j].astype(np.int64).view(np.uint64))
+    return key.view(np.int64)
 
 
 def _combos(m: int) -> np.ndarray:
-    """Perturbations of up to four of m hashes by one step."""
-    return np.array([c for c in itertools.product((0, -1, 1), repeat=m) if sum(map(abs, c)) <= 4])
+    """Perturbations of some of m hashes by one step: of up to four of a few hashes, fewer of many."""
+    most = 4 if m <= 12 else 3 if m <= 24 else 2
+    out = []
+    for k in range(min(m, most) + 1):
+        for places in itertools.combinations(range(m), k):
+            for signs in itertools.product((-1, 1), repeat=k):
+                c = np.zeros(m, dtype=np.int8)
+                c[list(places)] = signs
+                out.append(c)
+    return np.array(out)
 
 
 def _index(dim: int, m: int, tables: int, width: float, largest: float):
@@ -109,53 +126,60 @@ def _probe(dim: int, m: int, tables: int, width: float, probes: int):
             for t in range(tables):
                 p = (x @ a[t] + b[t]) / width
                 key = _keys(np.floor(p)[:, None, :] + combos[_ordered(p, combos)[:, :probes]])
-                n = key.shape[1]
-                yield pd.DataFrame({"t": t, "key": key.reshape(-1), "q": np.repeat(f["id"].to_numpy(), n), "qv": [v for v in f["v"] for _ in range(n)], "bound": np.repeat(f["bound"].to_numpy(), n)})
+                yield pd.DataFrame({"t": t, "key": key.reshape(-1), "q": np.repeat(f["id"].to_numpy(), key.shape[1])})
 
     return run
 
 
-def plan(pilots: np.ndarray, near: np.ndarray, of: np.ndarray, sample: np.ndarray, n: int, largest: float, most: int, tables: int, width: float, recall: float, probe_cost: float) -> tuple[int, int]:
-    """(hashes, probes) of the cheapest way that finds ``recall`` of ``near``, the neighbours of ``pilots[of]``; (0, 0) for a scan of all."""
-    dim, best, least = pilots.shape[1], (0, 0), float(n)
+def priced(pilots: np.ndarray, near: np.ndarray, of: np.ndarray, sample: np.ndarray, n: int, largest: float, m: int, tables: int, width: float, recall: float, probe_cost: float) -> tuple[float, int] | None:
+    """Cost of a query with ``m`` hashes, and the probes that find ``recall`` of ``near``, the neighbours of ``pilots[of]``; None where none do."""
+    dim = pilots.shape[1]
     x, y, z = _unit(pilots), _lift(near, largest), _lift(sample, largest)
-    for m in range(1, most + 1):
-        a, b = _projections(dim + 1, m, tables, width)
-        combos = _combos(m)
-        code = (combos + 1) @ 3 ** np.arange(m)
-        spot = np.full(3**m, len(combos))
-        spot[code] = np.arange(len(combos))
-        needed = np.full(len(near), len(combos))
-        asked, orders = [], []
-        for t in range(tables):
-            p = (x @ a[t] + b[t]) / width
-            order = _ordered(p, combos)
-            place = np.empty_like(order)
-            np.put_along_axis(place, order, np.arange(len(combos))[None, :], 1)
-            step = (np.floor((y @ a[t] + b[t]) / width) - np.floor(p)[of]).astype(np.int64)
-            inside = (np.abs(step) <= 1).all(axis=1)
-            at = spot[(np.where(inside[:, None], step, 0) + 1) @ 3 ** np.arange(m)]
-            inside &= at < len(combos)
-            needed = np.minimum(needed, np.where(inside, place[of, np.where(inside, at, 0)], len(combos)))
-            asked.append(np.floor(p))
-            orders.append(order)
-        probes = int(np.sort(needed)[max(0, int(np.ceil(recall * len(needed))) - 1)]) + 1
-        if probes > len(combos):
-            continue
-        read = 0
-        for t in range(tables):
-            held, sizes = np.unique(_keys(np.floor((z @ a[t] + b[t]) / width)), return_counts=True)
-            keys = _keys(asked[t][:, None, :] + combos[orders[t][:, :probes]]).reshape(-1)
-            spots = np.minimum(np.searchsorted(held, keys), len(held) - 1)
-            read += sizes[spots][held[spots] == keys].sum()
-        cost = read / len(x) * n / len(z) + probe_cost * probes * tables
-        if cost < least:
-            best, least = (m, probes), cost
-    return best
+    a, b = _projections(dim + 1, m, tables, width)
+    combos = _combos(m)
+    codes = _keys(combos)
+    sort = np.argsort(codes)
+    needed = np.full(len(near), len(combos))
+    asked, orders = [], []
+    for t in range(tables):
+        p = (x @ a[t] + b[t]) / width
+        order = _ordered(p, combos)
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(len(combos))[None, :], 1)
+        step = (np.floor((y @ a[t] + b[t]) / width) - np.floor(p)[of]).astype(np.int64)
+        code = _keys(step)
+        spot = sort[np.minimum(np.searchsorted(codes, code, sorter=sort), len(combos) - 1)]
+        needed = np.minimum(needed, np.where(codes[spot] == code, place[of, spot], len(combos)))
+        asked.append(np.floor(p))
+        orders.append(order)
+    probes = int(np.sort(needed)[max(0, int(np.ceil(recall * len(needed))) - 1)]) + 1
+    if probes > len(combos):
+        return None
+    read = 0
+    for t in range(tables):
+        held, sizes = np.unique(_keys(np.floor((z @ a[t] + b[t]) / width)), return_counts=True)
+        keys = _keys(asked[t][:, None, :] + combos[orders[t][:, :probes]]).reshape(-1)
+        spots = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+        read += sizes[spots][held[spots] == keys].sum()
+    return read / len(x) * n / len(z) + probe_cost * probes * tables, probes
+
+
+def plan(pilots: np.ndarray, near: np.ndarray, of: np.ndarray, sample: np.ndarray, n: int, largest: float, recall: float, probe_cost: float, ways=WAYS, bucket: int = BUCKET) -> tuple[int, int, int, float] | None:
+    """(hashes, probes, tables, width) of the cheapest way that finds ``recall`` of ``near``; None where no way does."""
+    best = None
+    for tables, width in ways:
+        # a hash of a unit vector's projection cuts space to about 4.13 / width cells
+        for m in range(1, 2 + int(np.log(max(n / bucket, 1)) / np.log(max(4.13 / width, 1.2)))):
+            got = priced(pilots, near, of, sample, n, largest, m, tables, width, recall, probe_cost)
+            if got and (best is None or got[0] < best[0]):
+                best = (got[0], m, got[1], tables, width)
+            elif got and got[0] > 4 * best[0]:
+                break
+    return best[1:] if best else None
 
 
 class _Held:
-    """The k best scores of each query, equal ones by the smaller id, of what is added; ``bound`` rises with them."""
+    """The k best scores of each query and what ties with the last of them, of what is added; ``bound`` rises with them."""
 
     def __init__(self, k: int, bound: np.ndarray):
         self.k, self.bound, self.parts, self.size = k, bound.copy(), [], 0
@@ -179,7 +203,8 @@ class _Held:
         first = np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]][: len(q)], places, 0))
         last = places - first == self.k - 1
         self.bound[q[last]] = np.maximum(self.bound[q[last]], _below(s[last]))
-        keep = places - first < self.k
+        keep = s >= self.bound[q]
+        keep |= places - first < self.k
         self.parts, self.size = [(q[keep], i[keep], s[keep])], int(keep.sum())
         return self.parts[0]
 
@@ -234,54 +259,70 @@ def _scanned(classes: DataFrame, asked: pd.DataFrame, k: int) -> DataFrame:
     return classes.mapInPandas(_scan(sent, k), "q long, id long, score double")
 
 
-def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, width: float = WIDTH, recall: float = RECALL, bucket: int = BUCKET, block: int = BLOCK, probe_cost: float = PROBE_COST) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL, ways=WAYS, bucket: int = BUCKET, block: int = BLOCK, asked_block: int = ASKED, probe_cost: float = PROBE_COST) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id fulfils ``is_query`` (a Column of ``id``)."""
     rows = materialize(clean(vectors, id_col, vec_col), "vectors")
     by_vector = Window.partitionBy("v").orderBy("id")
     # ids of equal vectors: the k + 1 smallest stand for all
     firsts = materialize(rows.withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= k + 1).groupBy("v").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")), "classes")
     n, largest = firsts.agg(F.count(F.lit(1)), F.max(F.expr("sqrt(aggregate(v, 0D, (s, x) -> s + x * x))"))).first()
-    empty = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    spark = rows.sparkSession
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not n:
         return empty
     dim = len(firsts.first()["v"])
-    # the most hashes that keep buckets near the aimed size: one of this width cuts space to about 1 / (3 / w)
-    most = int(max(1, min(12, round(np.log(max(n / bucket, 1)) / np.log(3.0 / width + 0.5)))))
     classes = firsts.select(F.col("rep").alias("id"), "v")
-    asking = rows.where(is_query(F.col("id"))).join(firsts.select("v", "rep"), "v").select(F.col("id").alias("query_id"), "rep")
+    asking = rows.where(is_query(F.col("id"))).distinct().join(firsts.select("v", "rep"), "v").select(F.col("id").alias("query_id"), "rep")
     asking = materialize(asking, "asking")
-    sample = np.array(classes.orderBy(F.xxhash64("id"), "id").limit(max(k + 1, SAMPLE_BYTES // (8 * dim))).select("v").toPandas()["v"].tolist(), dtype=float)
-    sent = rows.sparkSession.sparkContext.broadcast(sample)
+    points = lambda f: np.array(f["v"].tolist(), dtype=float).reshape(-1, dim)
+    sample = points(classes.orderBy(F.xxhash64("id"), "id").limit(max(k + 1, min(SAMPLE_BYTES // (8 * dim), int(n * SAMPLE_SHARE)))).select("v").toPandas())
+    sent = spark.sparkContext.broadcast(sample)
     asked = classes.join(asking.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").mapInPandas(_bounds(sent, k + 1), "id long, v array<double>, bound double")
     asked = materialize(asked, "asked")
     if asked.isEmpty():
         return empty
-    by_score = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-
-    def cut(met: DataFrame, most: int) -> DataFrame:
-        return met.groupBy("q", "id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(by_score)).where(F.col("r") <= most).select("q", "id")
 
-    pilots = asked.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(PILOTS).toPandas()
-    near = cut(_scanned(classes, pilots, k + 1), k + 1).where("q != id").join(classes, "id").select("q", "v").toPandas()
-    of = np.searchsorted(np.sort(pilots["id"].to_numpy()), near["q"].to_numpy())
-    points = lambda f: np.array(f["v"].tolist(), dtype=float).reshape(-1, dim)
-    m, probes = plan(points(pilots.sort_values("id")), points(near), of, sample, n, largest, most, tables, width, recall, probe_cost) if len(near) else (0, 0)
-    if m:
+    def cut(met: DataFrame) -> DataFrame:
+        """(q, id) of the k + 1 best scores of each query, and of those that may tie with the last."""
+        best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+        once = met.repartition("q").groupBy("q", "id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best))
+        last = F.max(F.when(F.col("r") == k + 1, F.col("score"))).over(Window.partitionBy("q"))
+        return once.withColumn("last", last).where((F.col("r") <= k + 1) | (F.col("score") >= F.col("last") - 1e-9 * F.greatest(F.lit(1.0), F.abs("last")))).select("q", "id")
+
+    def scanned(some: DataFrame) -> DataFrame:
+        """(q, id) of the best of all vectors for the rows of ``some``, so many at a time."""
+        parts = -(-some.count() * 8 * dim // SCAN_BYTES)
+        spread = materialize(classes.repartition(max(spark.sparkContext.defaultParallelism, -(-n * 8 * dim // SCAN_BYTES)), "id"), "spread")
+        turn = F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(parts))
+        out = [materialize(cut(_scanned(spread, some.where(turn == i).toPandas(), k + 1)), "scanned") for i in range(parts)]
+        drop(spread)
+        return reduce(DataFrame.union, out)
+
+    pilots = asked.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(PILOTS).toPandas().sort_values("id")
+    near = cut(_scanned(classes, pilots, k + 1)).where("q != id").join(classes, "id").select("q", "v").toPandas()
+    of = np.searchsorted(pilots["id"].to_numpy(), near["q"].to_numpy())
+    way = plan(points(pilots), points(near), of, sample, n, largest, recall, probe_cost, ways, bucket) if len(near) else None
+    if way:
+        m, probes, tables, width = way
         index = materialize(classes.mapInPandas(_index(dim, m, tables, width, largest), "t int, key long, id long, v array<double>"), "index")
-        sizes = index.groupBy("t", "key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
-        probing = asked.mapInPandas(_probe(dim, m, tables, width, probes), "t int, key long, q long, qv array<double>, bound double")
-        blocks = index.join(sizes, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int")).drop("nb")
-        probed = probing.join(sizes, ["t", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).drop("nb")
-        met = blocks.groupBy("t", "key", "part").cogroup(probed.groupBy("t", "key", "part")).applyInPandas(_best(k + 1), "q long, id long, score double")
-        found = materialize(cut(met, k + 5), "found")
+        probing = materialize(asked.select("id", "v", "bound").mapInPandas(_probe(dim, m, tables, width, probes), "t int, key long, q long"), "probing")
+        blocks = lambda df, most, name: df.groupBy("t", "key").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+        sizes = materialize(blocks(index, block, "ni").join(blocks(probing, asked_block, "nq"), ["t", "key"]), "sizes")
+        split = lambda df, own, other, by, to: df.join(sizes, ["t", "key"]).withColumns({own: F.pmod(F.xxhash64(by), F.col(f"n{own}")).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1))}).select("t", "key", "i", "q_", *to)
+        sizes = sizes.withColumnRenamed("nq", "nq_")
+        queries = asked.select(F.col("id").alias("q"), F.col("v").alias("qv"), "bound")
+        left = split(index, "i", "q_", "id", ["id", "v"])
+        right = split(probing, "q_", "i", "q", ["q"]).join(queries, "q")
+        by = ["t", "key", "i", "q_"]
+        found = materialize(cut(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_best(k + 1), "q long, id long, score double")), "found")
+        drop(index), drop(probing)
+        # a class of equal vectors lists as many of its ids, the query's own included
+        listed = found.join(firsts.select(F.col("rep").alias("id"), F.size("ids").alias("c")), "id").groupBy(F.col("q").alias("id")).agg(F.sum("c").alias("c")).where(F.col("c") > k)
+        few = materialize(asked.join(listed, "id", "left_anti"), "few")
+        if not few.isEmpty():
+            found = found.join(few.select(F.col("id").alias("q")), "q", "left_anti").union(scanned(few))
     else:
-        parts = -(-asked.count() * 8 * dim // SCAN_BYTES)
-        spread = materialize(classes.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n * 8 * dim // SAMPLE_BYTES)), "id"), "spread")
-        turn = F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(parts))
-        found = None
-        for i in range(parts):
-            got = materialize(cut(_scanned(spread, asked.where(turn == i).toPandas(), k + 1), k + 5), "found")
-            found = got if found is None else found.union(got)
+        found = scanned(asked)
     dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     exact = found.join(classes.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q").join(classes, "id").select(F.col("q").alias("rep"), "id", dot.alias("score"))
     listed = exact.join(firsts.select(F.col("rep").alias("id"), "ids"), "id").select("rep", "score", F.explode("ids").alias("vec_id"))

@@ -322,36 +322,78 @@ def test_neighbours(spark):
     assert [r["vec_id"] for r in sorted(got[60], key=lambda r: r["rank"])][:3] == [50, 51, 52] or x[60] @ x[60] < (x @ x[60]).max() - 1e-9
 
 
+def recall_of(spark, x, step, **more):
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(d, lambda i: i % step == 0, **more).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    s = x[::step] @ x.T
+    best = [set(np.argsort(-row)[:21]) - {step * q} for q, row in enumerate(s)]
+    assert all(len(v) == 20 for v in got.values()) and len(got) == len(best)
+    return sum(len(b & got[step * q]) for q, b in enumerate(best)) / (20 * len(best))
+
+
 @pytest.mark.parametrize("cost", [0, ann.PROBE_COST])
 def test_neighbours_in_narrow_buckets(spark, cost):
     x = np.random.default_rng(5).normal(size=(20000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {}
-    for r in ann.nearest(d, lambda i: i % 100 == 0, bucket=100, probe_cost=cost).collect():
-        got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    s = x[::100] @ x.T
-    best = [set(np.argsort(-row)[:21]) - {100 * q} for q, row in enumerate(s)]
-    assert sum(len(b & got[100 * q]) for q, b in enumerate(best)) / 4000 >= 0.9
+    assert recall_of(spark, x, 100, bucket=100, probe_cost=cost) >= 0.9
 
 
-@pytest.mark.parametrize("most", [4, 5, 6])
-def test_probes_follow_the_hashes(most):
+def clustered(n, dim, noise):
     rng = np.random.default_rng(6)
-    centres = rng.normal(size=(60000 // 30, 32))
-    x = np.repeat(centres, 30, axis=0) + rng.normal(size=(60000, 32)) * 0.25
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.repeat(rng.normal(size=(n // 30, dim)), 30, axis=0) + rng.normal(size=(n, dim)) * noise
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize(("m", "w"), [(3, 1.0), (5, 1.0), (8, 1.0), (14, 2.0)])
+def test_probes_follow_the_hashes(m, w):
+    x = clustered(60000, 32, 0.25)
     q, of = x[::600], np.repeat(np.arange(100), 20)
     near = x[np.argsort(-q @ x.T, axis=1)[:, 1:21].reshape(-1)]
-    m, probes = ann.plan(q, near, of, x, len(x), 1.0, most, 4, 1.0, 0.95, 0)
-    assert m == most
+    cost, probes = ann.priced(q, near, of, x, len(x), 1.0, m, 4, w, 0.95, 0)
     met = np.zeros(len(near), bool)
-    (a, b), combos = ann._projections(33, m, 4, 1.0), ann._combos(m)
+    (a, b), combos = ann._projections(33, m, 4, w), ann._combos(m)
     for t in range(4):
-        p = (ann._unit(q) @ a[t] + b[t])
+        p = (ann._unit(q) @ a[t] + b[t]) / w
         keys = ann._keys(np.floor(p)[:, None, :] + combos[ann._ordered(p, combos)[:, :probes]])
-        met |= (ann._keys(np.floor(ann._lift(near, 1.0) @ a[t] + b[t]))[:, None] == keys[of]).any(axis=1)
-    assert met.mean() >= 0.95
+        met |= (ann._keys(np.floor((ann._lift(near, 1.0) @ a[t] + b[t]) / w))[:, None] == keys[of]).any(axis=1)
+    assert met.mean() >= 0.95 and (m < 8 or cost < 0.5 * len(x))
+
+
+@pytest.mark.parametrize("m", [3, 5, 8])
+def test_recall_at_given_hashes(spark, monkeypatch, m):
+    """The whole search where the plan has to take m hashes."""
+    monkeypatch.setattr(ann, "plan", lambda *a: (m, ann.priced(*a[:6], m, 4, 1.0, a[6], a[7])[1], 4, 1.0))
+    assert recall_of(spark, clustered(9000, 32, 0.25), 100) >= 0.9
+
+
+def test_every_hash_changes_the_key():
+    h = np.zeros((1, 14))
+    keys = {int(ann._keys(h)[0])}
+    for j in range(14):
+        h[0, j] += 1
+        keys.add(int(ann._keys(h)[0]))
+        h[0, j] -= 1025
+        keys.add(int(ann._keys(h)[0]))
+    assert len(keys) == 29
+
+
+def test_neighbours_without_close_buckets(spark, monkeypatch):
+    """Queries that meet too few others are answered by a scan, and ties beyond the last place go by id."""
+    monkeypatch.setattr(ann, "plan", lambda *a: (6, 1, 1, 0.2))
+    x = np.random.default_rng(8).normal(size=(400, 8))
+    x[100:200] = np.abs(x[100])[np.array([np.random.default_rng(i).permutation(8) for i in range(100)])]
+    d = spark.createDataFrame([(i, v.tolist(), 1, "q") for i, v in enumerate(x)] + [(None, x[0].tolist(), 1, "q")], "vec_id long, embedding array<double>, id int, query_id string")
+    got = {}
+    for r in ann.nearest(d, lambda i: i % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 400, 20):
+        s = [sum(a * b for a, b in zip(x[q], v)) for v in x]
+        assert sorted(got[q]) == [(k + 1, i, s[i]) for k, i in enumerate(sorted((i for i in range(400) if i != q), key=lambda i: (-s[i], i))[:20])]
+    assert ann.nearest(d.limit(0), lambda i: i % 20 == 0).count() == 0
+    two = ann.nearest(d.where("vec_id in (0, 1)"), lambda i: i % 20 == 0).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in two] == [(0, 1, 1)]
 
 
 # ---- url filter ----
