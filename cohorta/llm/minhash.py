@@ -13,11 +13,16 @@ Buckets never emit all their pairs: each one first compares its members with one
 members are then still in different components, with another. What is left in different components is
 compared on full sets: pair by pair in buckets of up to ``FEW`` members; members of larger buckets are
 grouped by the component that most of their bucket is in, and those outside of it are compared with all
-of the group, in blocks of ``SIDE`` documents that hold only links, not pairs. So a pair that shares a
-bucket is compared, or already connected by confirmed links.
+of the group whose sizes allow a link. Blocks of ``SIDE`` documents from outside meet blocks of ``SIDE``
+of all and give links only, not pairs. So a pair that shares a bucket is compared, or already connected
+by confirmed links. What a bucket has in common is summed before it is shuffled and joined back, so a
+bucket with most of the documents is split like any skewed join.
+
+Sets are sets of 64-bit hashes of shingles: two shingles count as one with a chance of 2**-64.
 
 Edge cases: null, empty or blank texts have an empty set and are linked with nothing; rows with one
-id are one vertex; rows whose id is null are linked with nothing and get a null component.
+id are one vertex; rows whose id is null are linked with nothing and get a null component; a text
+of any length is one set; an empty table gives no rows; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -123,30 +128,41 @@ def _confirm(shingle: int, percent: int):
 
 
 def _exact(shingle: int, percent: int):
-    """Links between different components in one block pair of a group, on full sets. ``own`` is the group's largest component: of each pair, one is outside of it."""
+    """Links between different components of one block of documents from outside and one block of all, on full sets."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         cache = WordHash()
+        left = block["outside"].to_numpy(dtype=bool)
+        node, c = block["node"].to_numpy(), block["c"].to_numpy()
         sets = [shingle_set(ascii_words(t), shingle, cache) for t in block["text"]]
-        node, c, own, at = (block[x].to_numpy() for x in ("node", "c", "own", "b"))
-        i, j = int(block["i"].iloc[0]), int(block["j"].iloc[0])
         n = np.array([len(s) for s in sets])
-        starts = np.concatenate(([0], np.cumsum(n)[:-1]))
-        words, code = np.unique(np.concatenate(sets), return_inverse=True)
-        mark = np.zeros(len(words), dtype=bool)
+        mine, others = np.flatnonzero(left), np.flatnonzero(~left)
         a, b = [], []
-        for x in np.flatnonzero(c != own):
-            mark[:] = False
-            mark[code[starts[x] : starts[x] + n[x]]] = True
-            common = np.add.reduceat(mark[code].astype(np.int64), starts)
-            ok = (100 * common >= percent * (n + n[x] - common)) & (c != c[x]) & (at == (j if at[x] == i else i))
-            a.append(np.full(int(ok.sum()), node[x]))
-            b.append(node[ok])
+        if len(mine) and len(others):
+            starts = np.concatenate(([0], np.cumsum(n[others])[:-1]))
+            words, code = np.unique(np.concatenate([sets[i] for i in others]), return_inverse=True)
+            mark = np.zeros(len(words), dtype=bool)
+            for x in mine:
+                mark[:] = False
+                at = np.minimum(np.searchsorted(words, sets[x]), len(words) - 1)
+                mark[at[words[at] == sets[x]]] = True
+                common = np.add.reduceat(mark[code].astype(np.int64), starts)
+                ok = (100 * common >= percent * (n[others] + n[x] - common)) & (c[others] != c[x])
+                a.append(np.full(int(ok.sum()), node[x]))
+                b.append(node[others[ok]])
         return pd.DataFrame({"a": np.concatenate([np.empty(0, np.int64), *a]), "b": np.concatenate([np.empty(0, np.int64), *b])})
 
     return run
 
 
+def _with(df: DataFrame, by: str, tag: str, where: str, *sums) -> DataFrame:
+    """``df`` with what its rows of one ``by`` have in common: summed on each task, written, and joined back, so that a hot key can be split."""
+    own = materialize(df.groupBy(by).agg(*sums).where(where), tag)
+    out = df.join(own, by)
+    out._cohorta_path = own._cohorta_path
+    return out
+
+
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for the nodes of ``edges`` (alternating large and small stars)."""
     e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
@@ -172,12 +188,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sig = materialize(src.mapInArrow(_signatures(shingle, bands, rows), "id long, n long, h1 long, h2 long, bands array<long>"), "sig")
     linkable = sig.where("n > 0 and id is not null")
-    reps = linkable.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "bands")).alias("m")).select(F.col("m.id").alias("node"), "n", F.col("m.bands").alias("bands"))
-    key = Window.partitionBy("key")
-    buckets = materialize(
-        reps.select("node", "n", F.explode("bands").alias("key")).withColumn("lead", F.min(F.struct("node", "n")).over(key)).withColumn("last", F.max("node").over(key)).where("last != lead.node").select("key", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")),
-        "buckets",
-    )
+    reps = materialize(linkable.groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "bands")).alias("m")).select("h1", "h2", F.col("m.id").alias("node"), "n", F.col("m.bands").alias("bands")), "reps")
+    met = _with(reps.select("node", "n", F.explode("bands").alias("key")), "key", "leads", "members > 1", F.min(F.struct("node", "n")).alias("lead"), F.count(F.lit(1)).alias("members"))
+    buckets = materialize(met.select("key", "node", "n", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "buckets")
+    drop(met)
     texts = materialize(src.join(buckets.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "texts")
     sized = F.expr(f"100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
 
@@ -188,36 +202,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = confirmed(buckets.where(F.col("node") != F.col("lead")).where(sized).select(F.col("node").alias("a"), F.col("lead").alias("b")))
     comp = materialize(connected(links), "components")
-    apart = buckets.select("key", "node", "n")
+    apart, made = buckets.select("key", "node", "n"), [buckets, links]
     for step in range(LEADER_ROUNDS + 1):
-        named = apart.select("key", "node", "n").join(comp, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-        apart = materialize(named.withColumn("lo", F.min("c").over(key)).withColumn("hi", F.max("c").over(key)).where("lo != hi").select("key", "node", "n", "c"), "apart")
+        named = materialize(apart.select("key", "node", "n").join(comp, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c")), "named")
+        met = _with(named, "key", "bounds", "lo != hi", F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64(F.lit(step), "key", "node").alias("r"), "node", "n", "c")).alias("l"))
+        apart = materialize(met.select("key", "node", "n", "c", "k", "l"), "apart")
+        drop(met), drop(named)
+        made.append(apart)
         if apart.isEmpty():
             break
         last = step == LEADER_ROUNDS
         if not last:
-            lead = F.min(F.struct(F.xxhash64(F.lit(step), "key", "node").alias("r"), "node", "n", "c")).over(key)
-            pairs = apart.withColumn("l", lead).select("node", "n", "c", F.col("l.node").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.c").alias("lead_c")).where("c != lead_c").where(sized).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+            pairs = apart.select("node", "n", "c", F.col("l.node").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.c").alias("lead_c")).where("c != lead_c").where(sized).select(F.col("node").alias("a"), F.col("lead").alias("b"))
         else:
-            many = apart.withColumn("k", F.count(F.lit(1)).over(key))
-            few = many.where(F.col("k") <= FEW)
+            few = apart.where(F.col("k") <= FEW)
             other = few.select("key", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("c").alias("lead_c"))
             pairs = few.join(other, "key").where("node > lead and c != lead_c").where(sized).select(F.col("node").alias("a"), F.col("lead").alias("b"))
-            # larger buckets are grouped by the component that most of their members are in
-            many = many.where(F.col("k") > FEW)
-            most = many.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("own"))
-            group = many.join(most, "key").select("own", "node", "c").distinct()
-            sizes = group.groupBy("own").agg(F.ceil(F.count(F.lit(1)) / SIDE).alias("nb"))
-            blocks = group.join(sizes, "own").withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb"))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-            blocks = blocks.select("own", "node", "c", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).join(texts.withColumnRenamed("id", "node"), "node")
-            near = blocks.groupBy("own", "i", "j").applyInPandas(_exact(shingle, percent), "a long, b long")
+            near = _across(apart.where(F.col("k") > FEW).select("key", "node", "n", "c"), texts, shingle, percent)
         more = confirmed(pairs)
+        made.append(more)
         more = materialize(more.unionByName(near), "blocklinks") if last else more
         if more.isEmpty():
             continue
         star = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
         comp = materialize(connected(star.unionByName(more)), "components")
-    classes = linkable.groupBy("h1", "h2", "n").agg(F.min("id").alias("node")).join(comp, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
-    return sig.select("id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id")
-    )
+    classes = materialize(reps.select("h1", "h2", "n", "node").join(comp, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component")), "componentof")
+    for x in [*made, texts, reps]:
+        drop(x)
+    # rows without words or id meet nothing and take no part in the join
+    own = sig.select("id", "n", "h1", "h2")
+    full = own.where("n > 0 and id is not null").join(classes, ["h1", "h2", "n"], "left").select("id", "n", F.coalesce("component", "id").alias("component_id"))
+    rest = own.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
+    return full.unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _across(many: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of large buckets (key, node, n, c) that are in different components.
+
+    Buckets are grouped by the component that most of their members are in; of each pair, one is outside of it.
+    Sizes are cut into classes by a factor of 100 / ``percent``, so that links join neighbouring classes at most.
+    """
+    most = many.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("own"))
+    group = many.join(materialize(most, "most"), "key").select("own", "node", "c", "n").distinct().withColumn("size", F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int"))
+    group = materialize(group, "group")
+    out = group.where("c != own").withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    by = ["own", "size"]
+    blocks = lambda df, name: df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / SIDE).alias(name))
+    sizes = materialize(blocks(out, "no").join(blocks(group, "na"), by), "blocksizes")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = out.join(sizes, by).select(*by, "node", "c", F.lit(True).alias("outside"), place("no").alias("i"), each("na").alias("j"))
+    rest = group.join(sizes, by).select(*by, "node", "c", F.lit(False).alias("outside"), each("no").alias("i"), place("na").alias("j"))
+    full = mine.unionByName(rest).join(texts.withColumnRenamed("id", "node"), "node")
+    return full.groupBy(*by, "i", "j").applyInPandas(_exact(shingle, percent), "a long, b long")
