@@ -520,6 +520,57 @@ def test_toxicity_on_held_out_rows(spark):
     assert [r["score"] for r in none.collect()] == [0.0, 0.0]
 
 
+def test_toxicity_edges(spark):
+    words = "plain words of a text that says nothing at all to anyone who reads it".split()
+    rng = random.Random(3)
+    texts = [" ".join(rng.sample(words, 12) + (["zukrat", "idiot"] if i % 4 == 0 else [])) for i in range(80)]
+    d = docs_of(spark, [*texts, None, "", texts[0], "calm " * 200_000, "you zukrat idiot"]).withColumns({"score": F.lit("x"), "x": F.lit(1), "toxic": F.lit(9), "id": F.lit(7)})
+    d = d.unionByName(d.where("doc_id = 4"))
+    lab = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(80)] + [(None, 1, 1), (1, 0, None)], "doc_id long, quality int, toxic int")
+    rows = toxicity.toxicity(d, lab).collect()
+    got = {r["doc_id"]: r["score"] for r in rows}
+    assert len(rows) == 86 and len([r for r in rows if r["doc_id"] == 4]) == 2 and got[82] == got[0]
+    assert all((got[i] >= 0.7) == (i % 4 == 0) for i in range(80)) and got[84] >= 0.7 and max(got[80], got[81], got[83]) < 0.7
+    assert toxicity.toxicity(d.limit(0), lab).count() == 0
+
+
+def test_label_model_equals_definition():
+    """Expectation maximisation written out row by row, over the tree that the model has chosen."""
+    rng = np.random.default_rng(2)
+    y = rng.random(600) < 0.2
+    v = np.zeros((600, toxicity.WIDTH), dtype=np.int8)
+    for j in range(toxicity.WIDTH):
+        v[:, j] = np.where(rng.random(600) < 0.3, 0, np.where(rng.random(600) < 0.9, 1, -1) * np.where(y, 1, -1))
+    v[:, 3] = np.where(rng.random(600) < 0.9, v[:, 2], v[:, 3])  # one voter copies another
+    q, parent = toxicity.label_model(v, 0.2, rounds=3)
+    assert parent[3] == 2 or parent[2] == 3
+    assert ((q > 0.5) == y).mean() > 0.97
+    lex, n = len(toxicity.LISTS), len(v)
+    got = [0.95 if c >= 2 else 0.6 if c == 1 else 0.02 for c in (v[:, :lex] > 0).sum(axis=1)]
+    every = [{s: ((v[:, j] == s).sum() + 1) / (n + 3) for s in (-1, 0, 1)} for j in range(toxicity.WIDTH)]
+    for _ in range(3):
+        weight = [[1 - x for x in got], got]
+        tree = toxicity._tree(np.array([[[[[sum(w[i] for i in np.flatnonzero((v[:, j] == s) & (v[:, k] == t))) for t in (-1, 0, 1)] for k in range(toxicity.WIDTH)] for s in (-1, 0, 1)] for j in range(toxicity.WIDTH)] for w in weight]), n)
+        new = []
+        for i in range(n):
+            odds = np.log(0.2 / 0.8)
+            for j, up in enumerate(tree):
+                if v[i, j] == 0:
+                    continue
+                p = []
+                for w in weight:
+                    w = np.array(w)
+                    own = (w[v[:, j] == v[i, j]].sum() + toxicity.SMOOTH * every[j][int(v[i, j])]) / (w.sum() + toxicity.SMOOTH)
+                    if up >= 0:
+                        there = v[:, up] == v[i, up]
+                        own = (w[there & (v[:, j] == v[i, j])].sum() + toxicity.SMOOTH * own) / (w[there].sum() + toxicity.SMOOTH)
+                    p.append(own)
+                odds += np.log(p[1] / p[0])
+            new.append(1 / (1 + np.exp(-max(-30, min(30, odds)))))
+        got = new
+    assert tree == parent and q == pytest.approx(got, abs=1e-6)
+
+
 # ---- pipeline ----
 
 
