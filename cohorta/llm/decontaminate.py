@@ -17,7 +17,10 @@ in the same check of template words and slots against the item, which needs the
 are broadcast with the windows, or joined by item.
 
 Edge cases: items of less than ``WINDOW`` words are one window of what they have, if that is
-``SHORTEST`` words or more; null and empty texts match nothing; equal items are all reported.
+``SHORTEST`` words or more; null and empty texts match nothing; equal items are all reported; documents
+with a null id are reported with that, in either way; rows that repeat an id are reported once for each
+item that any of them holds; empty tables give no rows; texts of any length are searched whole; other
+columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import BROADCAST_BYTES, fold, materialize, maybe_broadcast
 
 WINDOW, SHORTEST, LEAST, LONG, COVERAGE = 8, 5, 3, 20, 0.6
 #: Windows of the benchmark that may be broadcast (16 bytes each, and their items' texts).
@@ -187,12 +190,20 @@ def _emit(sizes: list[int] | None):
                 shape = template(t.as_py(), cache)[0]
                 w = np.unique(np.concatenate([np.empty(0, np.uint64), *[fold(shape, k) for k in sizes if len(shape) >= k]]) if sizes is not None else windows(shape))
                 key.append(w.view(np.int64))
-                owner.append(np.full(len(w), i if i is not None else -1, np.int64))
+                owner.append(np.full(len(w), i, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *key])), pa.array(np.concatenate([np.empty(0, np.int64), *owner]))], names=["key", "owner"])
 
     return run
 
 
+def _widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of the windows of each item that has any; there are few different ones."""
+    cache = _Word()
+    for batch in batches:
+        words = [len(template(t.as_py(), cache)[0]) for t in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array([width(n) for n in words if n >= SHORTEST], pa.int32())], names=["size"])
+
+
 def _check_pairs(coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,11 +222,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = _items(benchmark, item_col, item_text)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, windows long, item_windows long"
-    size = items.agg(F.count(F.lit(1)), F.sum(F.size(F.split("item_text", r"\s+")))).first()
+    size = items.agg(F.count(F.lit(1)), F.sum(F.size(F.split("item_text", r"\s+"))), F.sum(F.octet_length("item_text"))).first()
     if (size[1] or 0) <= max_windows:
         return src.mapInArrow(_match_broadcast([tuple(r) for r in items.collect()], coverage), schema).distinct()
     ours = items.mapInArrow(_emit(None), "key long, owner long").withColumnRenamed("owner", "item_id")
-    theirs = src.where("id is not null").mapInArrow(_emit(list(range(LEAST, WINDOW + 1))), "key long, owner long").withColumnRenamed("owner", "id")
-    pairs = theirs.join(ours, "key").select("id", "item_id").distinct()
-    full = pairs.join(src, "id").join(items, "item_id").select("id", "text", "item_id", "item_text")
+    # rows are told apart by what their text hashes to: equal texts hold the same items, whatever their ids
+    told = src.withColumn("hash", F.xxhash64("text")).where("text is not null")
+    sizes = [r[0] for r in items.select("item_text").mapInArrow(_widths, "size int").distinct().collect()]
+    theirs = told.select("hash", "text").mapInArrow(_emit(sizes), "key long, owner long").withColumnRenamed("owner", "hash")
+    pairs = materialize(theirs.join(materialize(ours, "windows"), "key").select("hash", "item_id").distinct(), "pairs")
+    full = told.join(pairs, "hash").join(maybe_broadcast(items, size[0]) if (size[2] or 0) <= BROADCAST_BYTES else items, "item_id").select("id", "text", "item_id", "item_text")
     return full.mapInArrow(_check_pairs(coverage), schema).distinct()
