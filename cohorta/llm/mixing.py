@@ -11,7 +11,9 @@ of rates is joined back by source; where there are more sources than may be broa
 
 Edge cases: a null source is a source of its own; sources without a weight share what the named ones
 leave, in proportion to their rows; weights of sources that are absent are left out and the others
-scaled up; rows that agree in id, source and text get the same count; a rate of 0 gives no copies.
+scaled up; where the named weights come to 1 or more, sources without one get no copies; rows that agree in
+id and source get the same count, null ids one count for all of a source; a rate of 0 gives no copies; an
+empty table stays empty; input columns named like the three that are added are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast, unit_hash
+from .common import maybe_broadcast, unit_hash, unused
 
 SEED = 20240607
 
@@ -62,9 +64,11 @@ def rates(docs: DataFrame, weights: dict[str, float], source_col: str = "source"
 def mix(docs: DataFrame, weights: dict[str, float], id_col: str = "doc_id", source_col: str = "source", total: int | None = None, seed: int = SEED) -> DataFrame:
     """The columns of ``docs`` and ``mix_repeats``, ``mix_copy`` (from 1) and ``mix_order``, copies in a global random order."""
     table, sources = rates(docs, weights, source_col, total)
-    table = table.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"))
-    joined = docs.join(maybe_broadcast(table, sources), F.col(source_col).cast("string").eqNullSafe(F.col("mix_source")))
-    counted = joined.withColumn("mix_repeats", poisson_quantile(F.col("mix_rate"), unit_hash(F.col(id_col), seed=seed)).cast("int"))
+    docs = docs.drop("mix_repeats", "mix_copy", "mix_order")
+    source, rate = unused(docs, "mix_source"), unused(docs, "mix_rate")
+    table = table.select(F.col("source").alias(source), F.col("rate").alias(rate))
+    joined = docs.join(maybe_broadcast(table, sources), F.col(source_col).cast("string").eqNullSafe(F.col(source)))
+    counted = joined.withColumn("mix_repeats", poisson_quantile(F.col(rate), unit_hash(F.col(id_col), seed=seed)).cast("int"))
     copies = counted.where("mix_repeats > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_repeats"))))
     ordered = copies.withColumn("mix_order", F.xxhash64(F.lit(seed), F.col(id_col), F.col("mix_copy")))
-    return ordered.drop("mix_source", "mix_rate").repartition("mix_order").sortWithinPartitions("mix_order", id_col, "mix_copy")
+    return ordered.drop(source, rate).repartition("mix_order").sortWithinPartitions("mix_order", id_col, "mix_copy")

@@ -82,9 +82,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The key of ``spark.cohorta.pseudonymKey``; where that is unset, a known one, which is good for synthetic tables only."""
+    return spark.conf.get("spark.cohorta.pseudonymKey", None) or "synthetic tables only"
+
+
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their personal data replaced by format-preserving pseudonyms."""
-    return pseudonymize(table(spark, sf_dir, "documents"))
+    return pseudonymize(table(spark, sf_dir, "documents"), pseudonym_key(spark))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
