@@ -10,10 +10,13 @@ Ranks are iterated until none changes by more than ``TOLERANCE`` of itself; a ho
 in a round changes by all of it, so no host is too many links away.
 
 The iterations are joins of the edge table with the current ranks; only the small per-host table is
-written between them. A hot host only has many edges, which are split by the join's other key: the
-sums are pre-aggregated on each task.
+written between them. Both sides of a join are written tables, so Spark splits the edges of a hot host, and
+sums are pre-aggregated on each task. Ranks go back to the pages by a broadcast up to a checked number of
+hosts, and beyond it by a join that is split in the same way. The mass of hosts without links is not dealt
+out again: ranks are compared, not summed.
 
-Edge cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed
+Edge cases: rows that repeat are judged one by one, and their links count as often; an empty table gives no
+rows; other columns are left out, whatever their names; html of any length is searched whole; a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed
 by the method; an empty host takes no part in the graph; null html has no links.
 """
 
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize
+from .common import drop, materialize, maybe_broadcast
 
 DAMPING, THRESHOLD = 0.85, 1.0
 #: Share of its rank by which no host's may still change when the iteration ends.
@@ -93,6 +96,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = page_rank(back, seeds.select("host", F.col("b").alias("mass")).where("mass > 0"))
     ranks = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full_outer")
-    out = p.drop("html", "u").join(ranks, "host", "left").withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
+    ranks = materialize(ranks.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "ranks")
+    out = p.drop("html", "u").join(maybe_broadcast(ranks, ranks.count()), "host", "left").withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
     method = F.when(F.col("distrust") > F.lit(threshold) * F.col("trust"), "block").otherwise("allow")
     return out.select(F.col("page_id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "trust", "distrust")
