@@ -3,30 +3,35 @@
 Pages of a host are grouped by template, told by the names of its block elements. Of each group with at
 least ``LEAST`` different bodies, a few pages (``SAMPLE``, by a hash, equal bodies counted once) are
 aligned by simple tree matching (Yang, 1991); pages of smaller groups take the wrapper of a sample of
-the whole host. Nodes that carry the same text in all aligned pages are
-template; the node that holds nearly all of the varying text is the content slot. A wrapper is
-the path of that slot and the template's texts outside of it. It is then applied to every page of its
+the whole host. Blocks that carry the same text in all aligned pages are template, inside of the article as
+well as outside; the node that holds nearly all of the varying text is the content slot. A wrapper is
+the path of that slot and the template's texts. It is then applied to every page of its
 group: the slot is looked up by its path, where siblings of one name are aligned in order with the
-wrapper's by what they hold, and its blocks are read in page order.
+wrapper's by what they hold, all siblings that share a slot's class are slots, and their blocks are read in
+page order without the template's. Trees are walked without recursion and aligned whole, however deep or wide:
+equal subtrees are compared once, and long lists by halves, in memory of their length.
 
 Inside and outside of the slot, elements that are never article text are left out: scripts, styles,
 forms, menus, headers and footers of the page, sidebars, and elements whose class, id or role names an
 advert, notice, comment section and the like. Pages without a wrapper (few pages on the host, or the
-slot is missing) fall back to their ``article`` or ``main`` element, else to what holds most text: the
-innermost block with ``MOST_SHARE`` of the text outside of links.
+slot is missing) fall back to their ``main`` element or outermost ``article`` elements, else to what holds
+most text: the innermost block with ``MOST_SHARE`` of the text outside of links.
 
 Edge cases: null html gives an empty text; markup that is cut off is read as far as it goes; a page of
-plain text is its own article.
+plain text is its own article; elements may be nested to any depth; rows that repeat are read one by one,
+and their bodies count once for a wrapper; an empty table gives no rows; other columns are left out,
+whatever their names.
 """
 
 from __future__ import annotations
 
-import difflib
 import html
 import json
 import re
+from collections import Counter, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,8 +44,8 @@ SAMPLE, LEAST = 6, 3
 SLOT_SHARE = 0.85
 #: Share of the text outside of links that a child must hold to stand for a page without wrapper.
 MOST_SHARE = 0.7
-#: Children that are aligned node by node; longer lists are matched in order by their names.
-WIDE = 400
+#: Cells of an alignment that are held at once; beyond it the longer list is halved first.
+CELLS = 4_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -48,8 +53,8 @@ _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|/|$|=)|aria-hidden\s*=\s*["']?tr
 
 # Elements of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea xmp noembed noframes svg math object canvas audio video".split())
-NEVER = frozenset("head title nav footer aside form button select option fieldset dialog menu menuitem label".split()) | RAW
+RAW = frozenset("script style noscript template iframe textarea xmp noembed noframes svg canvas audio video".split())
+NEVER = frozenset("head title nav footer aside form button select option fieldset dialog menu menuitem".split()) | RAW
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table tr pre blockquote".split())
@@ -78,8 +83,17 @@ def parse(text: str) -> Node:
     """A tree of nodes; children are nodes or strings, whose character references are decoded."""
     root = at = Node("#root", "", None)
     last = 0
-    tokens = _TOKEN.finditer(text)
-    for m in tokens:
+    opened: Counter[str] = Counter()
+
+    def close(x: Node) -> Node:
+        """The parent of ``x``, which is closed with all that is open in it."""
+        y = at
+        while y is not x.parent:
+            opened[y.tag] -= 1
+            y = y.parent
+        return y
+
+    for m in _TOKEN.finditer(text):
         if m.start() < last:
             continue
         if m.start() > last:
@@ -89,26 +103,21 @@ def parse(text: str) -> Node:
         if not tag:
             continue
         if m[1] or m[4]:
-            x = at
-            while x is not root and x.tag != tag:
-                x = x.parent
-            if x is not root:
-                at = x.parent
+            if opened[tag] > 0:
+                x = at
+                while x.tag != tag:
+                    x = x.parent
+                at = close(x)
             elif tag in ("p", "br"):
                 at.children.append("\n")
             continue
-        if tag in CLOSES_P:
-            x = at
-            while x is not root and x.tag not in ("p", "button", "table", "td"):
-                x = x.parent
-            if x.tag == "p":
-                at = x.parent
-        elif tag in _SAME:
+        stops = ("p", "button", "table", "td") if tag in CLOSES_P and opened["p"] > 0 else (tag, *_SAME[tag]) if tag in _SAME and opened[tag] > 0 else ()
+        if stops:
             x = at
-            while x is not root and x.tag != tag and x.tag not in _SAME[tag]:
+            while x is not root and x.tag not in stops:
                 x = x.parent
-            if x.tag == tag:
-                at = x.parent
+            if x.tag == stops[0]:
+                at = close(x)
         attrs = m[3] or m[6] or ""
         node = Node(tag, attrs, at)
         at.children.append(node)
@@ -117,6 +126,7 @@ def parse(text: str) -> Node:
             last = end.end() if end else len(text)
         elif tag not in VOID:
             at = node
+            opened[tag] += 1
     if last < len(text):
         at.children.append(html.unescape(text[last:]))
     return root
@@ -134,23 +144,19 @@ def dropped(node: Node) -> bool:
     return node.noise or node.tag == "header" and not _article(node)
 
 
-def pieces(node: Node, constant: frozenset[str] = frozenset()) -> list[str]:
-    """Text below a node with breaks at blocks; nodes of the template's texts (``constant``) are left out."""
+def pieces(node: Node, constant: dict[str, set[str]] | None = None) -> list[str]:
+    """Text below a node with breaks at blocks; blocks of the template's texts (``constant``, by name) are left out."""
     out: list[str] = []
-
-    def walk(x: Node) -> None:
-        for c in x.children:
-            if isinstance(c, str):
-                out.append(c)
-            elif not dropped(c) and not (constant and c.tag not in INLINE and f"{c.name}\t{joined(pieces(c))}" in constant):
-                inline = c.tag in INLINE
-                if not inline:
-                    out.append("\n")
-                walk(c)
-                if not inline:
-                    out.append("\n")
-
-    walk(node)
+    stack = node.children[::-1]
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif not dropped(c) and not (constant and c.name in constant and c.tag not in INLINE and joined(pieces(c)) in constant[c.name]):
+            if c.tag not in INLINE:
+                out.append("\n")
+                stack.append("\n")
+            stack += c.children[::-1]
     return out
 
 
@@ -158,13 +164,13 @@ def joined(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
-def shape(node: Node, constant: frozenset[str]) -> list:
+def shape(node: Node, constant: dict[str, set[str]]) -> list:
     """What a node is told by among siblings of its name: the names below it, and its text if that is the template's."""
-    text = joined(pieces(node))
-    return [sorted({c.name for c in elements(node)}), text if f"{node.name}\t{text}" in constant else None]
+    text = joined(pieces(node)) if node.name in constant else None
+    return [sorted({c.name for c in elements(node)}), text if text is not None and text in constant[node.name] else None]
 
 
-def path_of(node: Node, constant: frozenset[str]) -> list:
+def path_of(node: Node, constant: dict[str, set[str]]) -> list:
     """Name, place among the siblings of that name, and their shapes, from the root down."""
     steps = []
     while node.parent is not None:
@@ -174,80 +180,157 @@ def path_of(node: Node, constant: frozenset[str]) -> list:
     return steps[::-1]
 
 
-def _likeness(known: list, node: Node, text: str, constant: frozenset[str]) -> float:
+def _likeness(known: list, node: Node, told: list) -> float:
     if known[1] is not None:
-        return 3.0 if text == known[1] else 0.2
-    if f"{node.name}\t{text}" in constant:
+        return 3.0 if told[1] == known[1] else 0.2
+    if told[1] is not None:
         return 0.1
-    a, b = set(known[0]), {c.name for c in elements(node)}
+    a, b = set(known[0]), set(told[0])
     return 1 + (len(a & b) / len(a | b) if a | b else 1)
 
 
-def find(root: Node, path: list, constant: frozenset[str]) -> Node | None:
-    """The node at ``path``: at each step, siblings of the name are aligned in order with those of the wrapper."""
+def find(root: Node, path: list, constant: dict[str, set[str]]) -> list[Node]:
+    """The nodes at ``path``: at each step, siblings of the name are aligned in order with those of the wrapper; in the last, all that share a class."""
     at = root
-    for name, place, known in path:
+    for step, (name, place, known) in enumerate(path):
         same = [c for c in elements(at) if c.name == name]
+        if step == len(path) - 1 and "." in name:
+            return same
         if len(same) == 1 and len(known) == 1:
             at = same[0]
             continue
-        texts = [joined(pieces(c)) for c in same]
-        m = [[0.0] * (len(same) + 1) for _ in range(len(known) + 1)]
-        w = [[_likeness(k, c, t, constant) for c, t in zip(same, texts)] for k in known]
-        for i in range(len(known)):
-            for j in range(len(same)):
-                m[i + 1][j + 1] = max(m[i + 1][j], m[i][j + 1], m[i][j] + w[i][j])
-        i, j = len(known), len(same)
-        at = None
-        while i and j:
-            if m[i][j] == m[i - 1][j - 1] + w[i - 1][j - 1]:
-                i, j = i - 1, j - 1
-                if i == place:
-                    at = same[j]
-            elif m[i][j] == m[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
+        told = [shape(c, constant) for c in same]
+        rows = [np.array([_likeness(k, c, t) for c, t in zip(same, told)]) for k in known]
+        at = next((same[j] for i, j in align(rows.__getitem__, len(known), len(same)) if i == place), None)
         if at is None:
-            return None
-    return at
+            return []
+    return [at]
 
 
 def elements(node: Node) -> list[Node]:
     return [c for c in node.children if isinstance(c, Node)]
 
 
-def match(a: Node, b: Node, pairs: list[tuple[Node, Node]] | None = None) -> int:
-    """Simple tree matching: the size of the largest order-preserving matching of two trees; ``pairs`` gets it."""
-    if a.name != b.name:
-        return 0
-    if pairs is not None:
-        pairs.append((a, b))
-    x, y = elements(a), elements(b)
-    if not x or not y:
-        return 1
-    if len(x) > WIDE or len(y) > WIDE:
-        names = [c.name for c in x], [c.name for c in y]
-        # beyond that many pairs, names that are common only extend what rarer ones align
-        blocks = difflib.SequenceMatcher(None, *names, autojunk=len(x) * len(y) > WIDE * WIDE * 10).get_matching_blocks()
-        got = [(x[a + k], y[b + k]) for a, b, n in blocks for k in range(n)]
-        return 1 + sum(match(p, q, pairs) for p, q in got)
-    w = [[match(p, q) if p.name == q.name else 0 for q in y] for p in x]
-    m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x)):
-        for j in range(len(y)):
-            m[i + 1][j + 1] = max(m[i + 1][j], m[i][j + 1], m[i][j] + w[i][j])
-    if pairs is not None:
-        i, j = len(x), len(y)
-        while i and j:
-            if w[i - 1][j - 1] and m[i][j] == m[i - 1][j - 1] + w[i - 1][j - 1]:
-                i, j = i - 1, j - 1
-                match(x[i], y[j], pairs)
-            elif m[i][j] == m[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-    return 1 + m[-1][-1]
+def below(node: Node) -> list[Node]:
+    """A node and all below it, each after those that it holds."""
+    out, stack = [], [node]
+    while stack:
+        x = stack.pop()
+        out.append(x)
+        stack += elements(x)
+    return out[::-1]
+
+
+def _next(row: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The row after ``row`` of the table of best order-preserving matchings."""
+    return np.concatenate(([0], np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights)))) if len(weights) else row
+
+
+def align(weights, n: int, k: int, first: int = 0, at: int = 0) -> list[tuple[int, int]]:
+    """The heaviest order-preserving matching of n rows from ``first`` and k columns from ``at``; ``weights(i)`` is a row of weights."""
+    if not n or not k:
+        return []
+    if n > 1 and n * k > CELLS:
+        half = n // 2
+        ahead = np.zeros(k + 1)
+        for i in range(first, first + half):
+            ahead = _next(ahead, weights(i)[at : at + k])
+        back = np.zeros(k + 1)
+        for i in range(first + n - 1, first + half - 1, -1):
+            back = _next(back, weights(i)[at : at + k][::-1])
+        cut = int(np.argmax(ahead + back[::-1]))
+        return align(weights, half, cut, first, at) + align(weights, n - half, k - cut, first + half, at + cut)
+    rows = [np.zeros(k + 1)]
+    for i in range(first, first + n):
+        rows.append(_next(rows[-1], weights(i)[at : at + k]))
+    out, i, j = [], n, k
+    while i and j:
+        w = weights(first + i - 1)[at + j - 1]
+        if w and rows[i][j] == rows[i - 1][j - 1] + w:
+            i, j = i - 1, j - 1
+            out.append((first + i, at + j))
+        elif rows[i][j] == rows[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
+class Matcher:
+    """Simple tree matching: the largest order-preserving matching of two trees. Equal subtrees are one kind, and two kinds are compared once."""
+
+    def __init__(self):
+        self.kinds: dict[tuple, int] = {}
+        self.names: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+        self.known: dict[tuple[int, int], int] = {}
+
+    def kind(self, root: Node) -> dict[int, int]:
+        """Kind of each node, by its identity."""
+        of: dict[int, int] = {}
+        for x in below(root):
+            key = (x.name, tuple(of[id(c)] for c in elements(x)))
+            if key not in self.kinds:
+                self.kinds[key] = len(self.names)
+                self.names.append(x.name)
+                self.kids.append(key[1])
+                self.sizes.append(1 + sum(self.sizes[c] for c in key[1]))
+            of[id(x)] = self.kinds[key]
+        return of
+
+    def _rows(self, x: tuple[int, ...], y: tuple[int, ...]):
+        """Rows of weights for the children of two kinds, one for each different child."""
+        different, place = np.unique(np.array(y, dtype=np.int64), return_inverse=True)
+        rows = {p: np.array([self.value(p, q) for q in different.tolist()], dtype=float)[place] for p in set(x)}
+        return lambda i: rows[x[i]]
+
+    def value(self, a: int, b: int) -> int:
+        if a == b:
+            return self.sizes[a]
+        return 0 if self.names[a] != self.names[b] else self.known[a, b]
+
+    def size(self, a: int, b: int) -> int:
+        stack = [(a, b)]
+        while stack:
+            p, q = stack[-1]
+            if p == q or self.names[p] != self.names[q] or (p, q) in self.known:
+                stack.pop()
+                continue
+            x, y = self.kids[p], self.kids[q]
+            wanted = [(c, d) for c in set(x) for d in set(y) if c != d and self.names[c] == self.names[d] and (c, d) not in self.known]
+            if wanted:
+                stack += wanted
+                continue
+            row, weights = np.zeros(len(y) + 1), self._rows(x, y) if x and y else None
+            for i in range(len(x) if y else 0):
+                row = _next(row, weights(i))
+            self.known[p, q] = 1 + int(row[-1])
+            stack.pop()
+        return self.value(a, b)
+
+    def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """The pairs of the matching."""
+        left, right = self.kind(a), self.kind(b)
+        if not self.size(left[id(a)], right[id(b)]):
+            return []
+        out, stack = [], [(a, b)]
+        while stack:
+            p, q = stack.pop()
+            out.append((p, q))
+            x, y = elements(p), elements(q)
+            for c, d in zip(x, y) if left[id(p)] == right[id(q)] else ():
+                stack.append((c, d))
+            if left[id(p)] != right[id(q)] and x and y:
+                kinds = tuple(left[id(c)] for c in x), tuple(right[id(d)] for d in y)
+                stack += [(x[i], y[j]) for i, j in align(self._rows(*kinds), len(x), len(y))]
+        return out
+
+
+def match(a: Node, b: Node) -> int:
+    """The size of the largest order-preserving matching of two trees."""
+    m = Matcher()
+    return m.size(m.kind(a)[id(a)], m.kind(b)[id(b)])
 
 
 def induce(pages: list[str]) -> dict | None:
@@ -261,26 +344,21 @@ def induce(pages: list[str]) -> dict | None:
     if len(trees) < LEAST:
         return None
     first = trees[0]
-    texts: dict[int, list[str]] = {}
+    own = lambda x: joined([c for c in x.children if isinstance(c, str)])
+    texts: dict[int, list[Node]] = {}
     same: dict[int, list[str]] = {}
     nodes: dict[int, Node] = {}
+    matcher = Matcher()
     for other in trees[1:]:
-        pairs: list[tuple[Node, Node]] = []
-        match(first, other, pairs)
-        for a, b in pairs:
+        for a, b in matcher.pairs(first, other):
             nodes[id(a)] = a
-            texts.setdefault(id(a), [joined(pieces(a))]).append(joined(pieces(b)))
-            same.setdefault(id(a), []).append(joined([c for c in b.children if isinstance(c, str)]))
-    own = lambda x: joined([c for c in x.children if isinstance(c, str)])
+            same.setdefault(id(a), []).append(own(b))
+            texts.setdefault(id(a), []).append(b)
     weights: dict[int, int] = {}
-
-    def weigh(x: Node) -> int:
-        """Text below a node that varies between the pages, or that the others lack."""
+    # text below a node that varies between the pages, or that the others lack
+    for x in below(first):
         fixed = len(same.get(id(x), ())) == len(trees) - 1 and set(same[id(x)]) == {own(x)}
-        weights[id(x)] = (0 if fixed else len(own(x))) + sum(weigh(c) for c in elements(x) if not dropped(c))
-        return weights[id(x)]
-
-    weigh(first)
+        weights[id(x)] = (0 if fixed else len(own(x))) + sum(weights[id(c)] for c in elements(x) if not dropped(c))
     at = first
     while at.tag not in ("article", "main"):
         parts = [c for c in elements(at) if not dropped(c)]
@@ -291,26 +369,21 @@ def induce(pages: list[str]) -> dict | None:
         if best is None or not weights[id(best)] or weights[id(best)] < SLOT_SHARE * weights[id(at)]:
             break
         at = best
-    inside: set[int] = set()
-    stack = [at]
-    while stack:
-        x = stack.pop()
-        inside.add(id(x))
-        stack += elements(x)
-    constant = {f"{a.name}\t{texts[k][0]}" for k, a in nodes.items() if k not in inside and len(texts[k]) == len(trees) and len(set(texts[k])) == 1 and texts[k][0]}
-    return {"slot": path_of(at, frozenset(constant)), "constant": sorted(constant)}
+    # a block is the template's where all pages have it with the same text; blocks that hold varying text can't be
+    constant: dict[str, set[str]] = {}
+    for k, a in nodes.items():
+        if len(texts[k]) == len(trees) - 1 and not weights[k] and a.tag not in INLINE and not dropped(a) and (text := joined(pieces(a))):
+            if all(joined(pieces(b)) == text for b in texts[k]):
+                constant.setdefault(a.name, set()).add(text)
+    return {"slot": path_of(at, constant), "constant": {k: sorted(v) for k, v in sorted(constant.items())}}
 
 
 def most_text(root: Node) -> Node:
     """The innermost block that holds ``MOST_SHARE`` of its parent's text outside of links, from the root down."""
     weights: dict[int, int] = {}
-
-    def weigh(x: Node) -> int:
-        own = 0 if x.tag == "a" else len(joined([c for c in x.children if isinstance(c, str)]))
-        weights[id(x)] = 0 if x.tag == "a" else own + sum(weigh(c) for c in elements(x) if not dropped(c))
-        return weights[id(x)]
-
-    weigh(root)
+    for x in below(root):
+        own = len(joined([c for c in x.children if isinstance(c, str)]))
+        weights[id(x)] = 0 if x.tag == "a" else own + sum(weights[id(c)] for c in elements(x) if not dropped(c))
     at = root
     while True:
         parts = [c for c in elements(at) if not dropped(c)]
@@ -328,16 +401,25 @@ def extract(page: str | None, wrapper: dict | None = None) -> str:
     if not page:
         return ""
     root = parse(page)
-    constant = frozenset(wrapper["constant"]) if wrapper else frozenset()
-    node = find(root, wrapper["slot"], constant) if wrapper and wrapper["slot"] else None
-    if node is None:
-        node, todo = None, [root]
-        while todo and node is None:
-            x = todo.pop(0)
-            node = x if x.tag in ("article", "main") and not dropped(x) else None
+    constant = {k: set(v) for k, v in wrapper["constant"].items()} if wrapper else {}
+    found = find(root, wrapper["slot"], constant) if wrapper and wrapper["slot"] else []
+    if not found:
+        todo = deque([root])
+        while todo:
+            x = todo.popleft()
+            if x.tag == "main" and not dropped(x):
+                found = [x]
+                break
             todo += [c for c in elements(x) if not dropped(c)]
-        node = node or most_text(root)
-    return joined(pieces(node, constant))
+    if not found:
+        todo = deque([root])
+        while todo:
+            x = todo.popleft()
+            if x.tag == "article" and not dropped(x):
+                found.append(x)
+            else:
+                todo.extendleft([c for c in elements(x) if not dropped(c)][::-1])
+    return joined([y for x in found or [most_text(root)] for y in ["\n", *pieces(x, constant), "\n"]])
 
 
 def _wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

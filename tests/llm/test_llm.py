@@ -257,6 +257,53 @@ def test_most_text_and_long_lists():
     assert html_extract.match(html_extract.parse(x), html_extract.parse(y)) == 451
 
 
+def brute_match(a, b):
+    """Simple tree matching as it is defined."""
+    if a.name != b.name:
+        return 0
+    x, y = html_extract.elements(a), html_extract.elements(b)
+    m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            m[i + 1][j + 1] = max(m[i + 1][j], m[i][j + 1], m[i][j] + brute_match(x[i], y[j]))
+    return 1 + m[-1][-1]
+
+
+def test_matching_equals_definition(monkeypatch):
+    rng = random.Random(5)
+
+    def tree(depth):
+        tag = rng.choice(("div", "section", "b"))
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randrange(4) if depth else 0)) + f"</{tag}>"
+
+    for cells in (html_extract.CELLS, 2):
+        monkeypatch.setattr(html_extract, "CELLS", cells)
+        for _ in range(40):
+            a, b = (html_extract.parse("".join(tree(3) for _ in range(3))) for _ in range(2))
+            pairs = html_extract.Matcher().pairs(a, b)
+            assert html_extract.match(a, b) == brute_match(a, b) == len(pairs) == len({id(p) for p, _ in pairs}) == len({id(q) for _, q in pairs})
+
+
+def test_deep_and_wide_markup():
+    deep = lambda i: "<div>" * 100_000 + f"<p>Deep {i} text</p>"
+    assert html_extract.extract(deep(1)) == "Deep 1 text" and html_extract.extract("<b>" * 50_000 + "x</i>" * 1000) == " ".join(["x" * 1000])
+    wrapper = html_extract.induce([deep(i) for i in range(4)])
+    assert html_extract.extract(deep(9), wrapper) == "Deep 9 text"
+    wide = lambda i: "<body><div class='n'>Same on all of them</div><div class='b'>" + "".join(f"<p>w{i}x{k}</p>" for k in range(5000 + i)) + "</div></body>"
+    wrapper = html_extract.induce([wide(i) for i in range(3)])
+    assert html_extract.extract(wide(7), wrapper) == " ".join(f"w7x{k}" for k in range(5007))
+
+
+def test_template_inside_the_article_and_all_slots():
+    page = lambda i, more="": f"<body><article><h1>Title {i}</h1><p>Story {i} {'word ' * (i + 2)}</p><div class='k'>Read the next one of our stories</div></article>{more}</body>"
+    w = html_extract.induce([page(i) for i in range(5)])
+    assert html_extract.extract(page(8), w) == f"Title 8 Story 8 {'word ' * 10}".strip() != html_extract.extract(page(8))
+    entry = lambda i, k: f"<body><div class='t'>All of our stories</div>{''.join(f'<div class=entry><p>Part {i} {j} long text</p></div>' for j in range(k))}</body>"
+    w = html_extract.induce([entry(i, 1) for i in range(4)])
+    assert html_extract.extract(entry(7, 2), w) == "Part 7 0 long text Part 7 1 long text"
+    assert html_extract.extract("<body><div>menu</div><article>one</article><div><article>two</article></div></body>") == "one two"
+
+
 def test_pages_match_their_article(spark):
     p = spark.read.parquet(f"{DATA}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html_extract.main_text(p).collect()}
