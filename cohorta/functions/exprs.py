@@ -70,6 +70,41 @@ def flag_or_null(status: Column, yes: str = "oui", no: str = "non") -> Column:
     return F.when(status == yes, 1).when(status == no, 0)
 
 
+def flag_by(status: Column, mapping: dict[str, int], other: int | None = None) -> Column:
+    """The number that ``mapping`` gives a status, compared without case; ``other`` for the rest, NULL included."""
+    out = F.lit(other).cast("int")
+    for k, v in mapping.items():
+        out = F.when(F.lower(status) == k.lower(), v).otherwise(out)
+    return out
+
+
+def outcome_count(df: DataFrame, status: str, yes: str = "oui") -> Column:
+    """Aggregate: rows whose status is ``yes`` where it is text, or not 0 where it is a number or a boolean."""
+    hit = F.col(status) == yes if isinstance(df.schema[status].dataType, T.StringType) else F.col(status).cast("double") != 0
+    return F.count_if(F.coalesce(hit, F.lit(False)))
+
+
+def age(birth: Column, at: Column) -> Column:
+    """Difference of the years, as the study counts age."""
+    return F.year(at) - F.year(birth)
+
+
+def same_text(a: Column, b: Column | str) -> Column:
+    """Equal but for case and outer blanks."""
+    plain = lambda c: F.lower(F.trim(c if isinstance(c, Column) else F.lit(c)))
+    return plain(a) == plain(b)
+
+
+def without_prefix(x: Column, prefix: str) -> Column:
+    """``x`` without ``prefix`` where it begins so."""
+    return F.when(x.startswith(prefix), F.substr(x, F.lit(len(prefix) + 1), F.length(x))).otherwise(x)
+
+
+def interaction(*x: Column) -> Column:
+    """Product of columns; NULL if any is."""
+    return reduce(lambda a, b: a * b, [c.cast("double") for c in x])
+
+
 def critical_state(month: Column, year: Column, ref: Column, dead: Column) -> Column:
     return F.when((month == F.month(ref)) & (year == F.year(ref)) & (dead == 1), 1).otherwise(0)
 

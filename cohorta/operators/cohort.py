@@ -114,3 +114,36 @@ def usable(df: DataFrame, columns: Sequence[str], most: float = 0.3) -> list[str
 
 def any_null(columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
+
+
+def last_values(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
+    """The last known value of each column, by ``order``; it is found by an aggregate, so rows are not sorted."""
+    return df.groupBy(*keys).agg(*[F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns])
+
+
+def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(variable, n, mean, sd, min, q1, median, q3, max, distinct, nonzero) of numbers, in one pass."""
+    x = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in columns])).alias("s")).select("s.*").where("v is not null")
+    q = lambda p: F.percentile("v", p)
+    return x.groupBy("variable").agg(
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"),
+        F.max("v").alias("max"), F.countDistinct("v").alias("distinct"), F.count_if(F.col("v") != 0).alias("nonzero"),
+    )
+
+
+def value_counts(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, value, n, share): rows of each value and their share of the group."""
+    n = df.groupBy(*by, F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*by)) if by else F.lit(df.count())
+    return n.withColumn("share", F.col("n") / total)
+
+
+def extent(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(x_min, y_min, x_max, y_max, points) of coordinates."""
+    return df.agg(F.min(x).alias("x_min"), F.min(y).alias("y_min"), F.max(x).alias("x_max"), F.max(y).alias("y_max"), F.countDistinct(x, y).alias("points"))
+
+
+def hashed_sample(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
+    """The rows of about ``share`` of the ids, by a hash of the id: the same on every run, with all rows of an id."""
+    text = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return df.where(F.conv(F.substring(text, 1, 8), 16, 10).cast("long") < int(share * (1 << 32)))

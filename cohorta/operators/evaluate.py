@@ -50,9 +50,9 @@ def average_precision(df: DataFrame, truth: str, score: str) -> DataFrame:
 
 def curve(df: DataFrame, truth: str, score: str) -> DataFrame:
     """Points of the ROC and the precision-recall curve at each distinct score."""
-    t = df.where(F.col(score).isNotNull()).agg(F.count_if(F.col(truth) == 1).alias("P"), F.count_if(F.col(truth) != 1).alias("N"))
+    t = df.where(F.col(score).isNotNull()).agg(F.count_if(F.col(truth) == 1).alias("yes"), F.count_if(F.col(truth) != 1).alias("no"))
     s = _by_score(df, truth, score).crossJoin(F.broadcast(t))
-    return s.select("score", (F.col("tp") / F.col("P")).alias("tpr"), ((F.col("rows") - F.col("tp")) / F.col("N")).alias("fpr"), (F.col("tp") / F.col("rows")).alias("precision"))
+    return s.select("score", (F.col("tp") / F.col("yes")).alias("tpr"), ((F.col("rows") - F.col("tp")) / F.col("no")).alias("fpr"), (F.col("tp") / F.col("rows")).alias("precision"))
 
 
 def threshold_sweep(df: DataFrame, truth: str, score: str, low: int = 5, high: int = 94, scale: float = 100.0) -> DataFrame:
@@ -66,7 +66,7 @@ def threshold_sweep(df: DataFrame, truth: str, score: str, low: int = 5, high: i
     return out.withColumn("threshold", F.col("step") / scale).withColumns(_rates()).drop("step")
 
 
-def best_thresholds(sweep: DataFrame, metrics: Sequence[str] = ("f1", "youden", "balanced_accuracy")) -> DataFrame:
+def best_thresholds(sweep: DataFrame, metrics: Sequence[str] = ("f1", "youden", "balanced_accuracy", "precision", "recall")) -> DataFrame:
     """The first threshold where each metric is highest."""
     row = sweep.agg(*[F.min(F.struct((-F.col(m)).alias("v"), F.col("threshold"))).alias(m) for m in metrics])
     return row.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"{m}.threshold").alias("threshold"), (-F.col(f"{m}.v")).alias("value")) for m in metrics])).alias("x")).select("x.*")

@@ -11,9 +11,8 @@ from pyspark.sql import types as T
 
 from cohorta.functions.exprs import require_columns
 from cohorta.operators import stats
-
-#: Cases that are broadcast to all controls at most; beyond it exact search runs in blocks of cases.
-MAX_BROADCAST_CASES = 20_000
+from cohorta.operators.spatial import nearest
+from cohorta.sources.io import kept
 
 
 def predicate(definition: Mapping, columns: Sequence[str]) -> Column:
@@ -54,21 +53,23 @@ def standardized(df: DataFrame, variables: Sequence[str]) -> tuple[DataFrame, li
 def nearest_case(df: DataFrame, variables: Sequence[str], key: str, date: str) -> DataFrame:
     """Each control's nearest case (the smallest id of equals) in standardised space, with that case's date.
 
-    Exact search: cases are dealt into blocks; a control meets each block once and keeps its best, so the
-    largest intermediate is controls times blocks. With few cases there is one block, which is broadcast.
+    Exact search over distinct points of the space: equal cases are one point, with their smallest id, and equal
+    controls ask once. Points meet by cells of the first two coordinates and a growing radius, never all with all.
     Columns of the result: the input's, ``matched_case_id``, ``matched_control_ids`` (of cases), ``date_reference``.
     """
     require_columns(df, [key, "is_case", date, *variables])
     z, names = standardized(df, variables)
-    cases = z.where("is_case = 1").select(F.col(key).alias("_case"), F.col(date).alias("_date"), F.array(*[F.col(n) for n in names]).alias("_cv"))
-    controls = z.where("is_case = 0").select(F.col(key).alias(key), F.array(*[F.col(n) for n in names]).alias("_v"))
-    blocks = max(1, -(-cases.count() // MAX_BROADCAST_CASES))
-    gap = F.aggregate(F.zip_with("_v", "_cv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    found = []
-    for i in range(blocks):
-        block = cases.where(F.pmod(F.xxhash64("_case"), F.lit(blocks)) == i)
-        found.append(controls.join(F.broadcast(block)).groupBy(key).agg(F.min(F.struct(F.round(gap, 9).alias("d"), F.col("_case"), F.col("_date"))).alias("b")))
-    best = reduce(DataFrame.unionByName, found).groupBy(key).agg(F.min("b").alias("b")).select(key, F.col("b._case").alias("matched_case_id"), F.col("b._date").alias("_date"))
+    point = F.array(*[F.col(n) for n in names])
+    cases = z.where("is_case = 1").select(F.col(key).alias("_case"), F.col(date).alias("_date"), point.alias("_cv")).groupBy("_cv").agg(F.min(F.struct("_case", "_date")).alias("m"))
+    cases = kept(cases.select("_cv", "m._case", "m._date", *[F.col("_cv")[i].alias(f"_c{i}") for i in range(min(2, len(names)))]), "cases")
+    controls = z.where("is_case = 0").select(F.col(key).alias(key), point.alias("_v"))
+    asked = kept(controls.select("_v").distinct().select("_v", *[F.col("_v")[i].alias(f"_a{i}") for i in range(min(2, len(names)))]), "asked")
+    axes = [(f"_a{i}", f"_c{i}") for i in range(min(2, len(names)))]
+    gap = F.round(F.aggregate(F.zip_with("_v", "_cv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x), 9)
+    sides = [asked.select(a).union(cases.select(c)).agg(F.max(a) - F.min(a)).first()[0] or 0.0 for a, c in axes]
+    wide = max([*sides, 1e-9])
+    near = nearest(asked, cases, "_v", axes, F.sqrt(gap), [F.col("_case"), F.col("_date")], 2 * wide / max(1.0, cases.count() ** 0.5), 2 * wide)
+    best = controls.join(near, "_v").select(key, F.col("best._case").alias("matched_case_id"), F.col("best._date").alias("_date"))
     groups = best.groupBy(F.col("matched_case_id").alias(key)).agg(F.concat_ws(",", F.sort_array(F.collect_list(F.col(key)))).alias("matched_control_ids"))
     out = df.join(best, key, "left").join(groups, key, "left")
     return out.withColumn("date_reference", F.when(F.col("is_case") == 1, F.col(date)).otherwise(F.col("_date"))).drop("_date")

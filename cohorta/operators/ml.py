@@ -7,14 +7,16 @@ from functools import reduce
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohorta.operators import evaluate
+from cohorta.sources.io import finished
 
+METRICS = "strategy string, accuracy double, precision double, recall double, f1 double, balanced_accuracy double, roc_auc double, average_precision double, error string"
 STRATEGIES = ("none", "balanced_forest", "oversample", "undersample", "smote_enn")
 
 
@@ -66,6 +68,14 @@ def undersample(df: DataFrame, target: str, key: str, seed: int = 42) -> DataFra
 BLOCK = 2000
 
 
+def _squared(x: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows, each to itself below all others."""
+    n = (x * x).sum(axis=1)
+    d = np.maximum(n[:, None] + n[None] - 2 * (x @ x.T), 0)
+    np.fill_diagonal(d, -1)
+    return d
+
+
 def smote_enn(df: DataFrame, features: str, target: str, seed: int = 42, k: int = 5, edited: int = 3) -> DataFrame:
     """Synthetic rows of the smaller class between neighbours, then rows whose neighbours disagree with them go. Works on a vector column, block by block."""
     import pandas as pd
@@ -79,13 +89,13 @@ def smote_enn(df: DataFrame, features: str, target: str, seed: int = 42, k: int
         rng = np.random.default_rng(seed + int(part["b"].iloc[0]))
         own = x[y == small]
         if len(own) > 1:
-            d = ((own[:, None] - own[None]) ** 2).sum(axis=2)
+            d = _squared(own)
             near = np.argsort(d, axis=1)[:, 1 : k + 1]
             at = rng.integers(0, len(own), int(round(len(own) * (times - 1))))
             to = near[at, rng.integers(0, near.shape[1], len(at))]
             x, y = np.vstack([x, own[at] + rng.random((len(at), 1)) * (own[to] - own[at])]), np.append(y, np.full(len(at), small))
         if len(x) > edited:
-            d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+            d = _squared(x)
             votes = y[np.argsort(d, axis=1)[:, 1 : edited + 1]]
             keep = (votes == y[:, None]).mean(axis=1) > 0.5
             x, y = x[keep], y[keep]
@@ -99,8 +109,10 @@ def smote_enn(df: DataFrame, features: str, target: str, seed: int = 42, k: int
     return made.select(array_to_vector("x").alias(features), F.col("y").alias(target))
 
 
-def forest(target: str, trees: int = 100, depth: int = 10, leaf: int = 2, seed: int = 42, weight: str | None = None) -> RandomForestClassifier:
-    f = RandomForestClassifier(labelCol=target, featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed, probabilityCol="_prob")
+def forest(target: str, trees: int = 100, depth: int = 10, leaf: int = 2, seed: int = 42, weight: str | None = None, least_split: int = 2, subset: str = "auto") -> RandomForestClassifier:
+    """A forest. Nodes are split from ``least_split`` rows on: a node of fewer can't give two leaves of half as many, which is what Spark bounds."""
+    leaf = max(leaf, least_split // 2)
+    f = RandomForestClassifier(labelCol=target, featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed, probabilityCol="_prob", featureSubsetStrategy=subset)
     return f.setWeightCol(weight) if weight else f
 
 
@@ -145,7 +157,7 @@ def compare(df: DataFrame, target: str, key: str, numeric: Sequence[str], catego
             got.unpersist()
         except Exception as e:  # noqa: BLE001
             rows.append((s, *[None] * 7, str(e)[:200]))
-    return df.sparkSession.createDataFrame(rows, "strategy string, accuracy double, precision double, recall double, f1 double, balanced_accuracy double, roc_auc double, average_precision double, error string").orderBy(F.desc_nulls_last("roc_auc"))
+    return df.sparkSession.createDataFrame(rows, METRICS).orderBy(F.desc_nulls_last("roc_auc"))
 
 
 def by_subset(df: DataFrame, column: str, values: Sequence, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -160,19 +172,20 @@ def by_subset(df: DataFrame, column: str, values: Sequence, run: Callable[[DataF
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 
 
-def random_search(train: DataFrame, target: str, key: str, numeric: Sequence[str], categories: Sequence[str], trials: int = 10, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Random draws of the forest's parameters, by mean F1 over folds of ids; the best first."""
+def random_search(train: DataFrame, target: str, key: str, numeric: Sequence[str], categories: Sequence[str], trials: int = 10, folds: int = 5, seed: int = 42, trees: tuple[int, int] = (50, 501)) -> DataFrame:
+    """Random draws of the forest's six parameters, by mean F1 over folds of ids; the best first."""
     rng = np.random.default_rng(seed)
     parts = train.withColumn("_fold", fold(key, folds))
     rows = []
     for _ in range(trials):
-        args = {"trees": int(rng.integers(50, 501)), "depth": int(rng.integers(3, 11)), "leaf": int(rng.integers(1, 11))}
+        args = {"trees": int(rng.integers(*trees)), "depth": int(rng.integers(3, 11)), "leaf": int(rng.integers(1, 11)), "least_split": int(rng.integers(2, 21)), "subset": str(rng.choice(["sqrt", "log2", "all"]))}
+        strategy = str(rng.choice(["none", "balanced_forest"]))
         f1 = []
         for i in range(folds):
-            prep, model = fit_strategy(parts.where(F.col("_fold") != i), "none", target, key, numeric, categories, **args)
+            prep, model = fit_strategy(parts.where(F.col("_fold") != i), strategy, target, key, numeric, categories, **args)
             f1.append(evaluate.confusion_metrics(scores(prep, model, parts.where(F.col("_fold") == i), target), "truth", "guess").first()["f1"])
-        rows.append((args["trees"], args["depth"], args["leaf"], float(np.mean(f1)), float(np.std(f1))))
-    return train.sparkSession.createDataFrame(rows, "trees int, depth int, leaf int, f1_mean double, f1_std double").orderBy(F.desc("f1_mean"))
+        rows.append((*args.values(), strategy, float(np.mean(f1)), float(np.std(f1))))
+    return train.sparkSession.createDataFrame(rows, "trees int, depth int, leaf int, least_split int, subset string, strategy string, f1_mean double, f1_std double").orderBy(F.desc("f1_mean"))
 
 
 def importances(prep: PipelineModel, model, numeric: Sequence[str], categories: Sequence[str]) -> dict[str, float]:
@@ -212,6 +225,43 @@ def permutation_importance(prep: PipelineModel, model, df: DataFrame, target: st
     return df.sparkSession.createDataFrame(rows, "variable string, mean double, std double")
 
 
+def cross_validate(df: DataFrame, strategy: str, target: str, key: str, numeric: Sequence[str], categories: Sequence[str], folds: int = 5, **forest_args) -> DataFrame:
+    """(metric, mean, sd) of five metrics over folds of ids, with the population deviation."""
+    parts = df.withColumn("_fold", fold(key, folds))
+    got = []
+    for i in range(folds):
+        prep, model = fit_strategy(parts.where(F.col("_fold") != i), strategy, target, key, numeric, categories, **forest_args)
+        s = scores(prep, model, parts.where(F.col("_fold") == i), target).select("truth", "guess", "score").cache()
+        m = evaluate.confusion_metrics(s, "truth", "guess").first()
+        got.append([m["accuracy"], m["precision"], m["recall"], m["f1"], evaluate.roc_auc(s, "truth", "score").first()[0]])
+        s.unpersist()
+    x = np.array([[np.nan if v is None else v for v in r] for r in got], dtype=float)
+    rows = [(name, float(np.nanmean(x[:, i])), float(np.nanstd(x[:, i]))) for i, name in enumerate(("accuracy", "precision", "recall", "f1", "roc_auc")) if not np.isnan(x[:, i]).all()]
+    return df.sparkSession.createDataFrame(rows, "metric string, mean double, sd double")
+
+
+def save_strategy(prep: PipelineModel, model, path: str) -> None:
+    """The preprocessor and the forest, in Spark's own format."""
+    prep.write().overwrite().save(f"{path}/preprocessor")
+    model.write().overwrite().save(f"{path}/forest")
+
+
+def load_strategy(path: str) -> tuple[PipelineModel, RandomForestClassificationModel]:
+    return PipelineModel.load(f"{path}/preprocessor"), RandomForestClassificationModel.load(f"{path}/forest")
+
+
+def resumable(df: DataFrame, path: str, target: str, key: str, numeric: Sequence[str], categories: Sequence[str], strategies: Sequence[str] = STRATEGIES, **forest_args) -> DataFrame:
+    """As :func:`compare`, with the metrics of each strategy added to the JSON state in ``path`` as soon as it is done; strategies that are there are not run again."""
+    spark = df.sparkSession
+    for s in strategies:
+        if s not in finished(spark, path):
+            row = compare(df, target, key, numeric, categories, [s], **forest_args)
+            if row.first()["error"]:
+                raise RuntimeError(f"{s}: {row.first()['error']}")
+            row.write.mode("append").json(path)
+    return spark.read.schema(METRICS).json(path).where(F.col("strategy").isin(list(strategies))).orderBy(F.desc_nulls_last("roc_auc"))
+
+
 def learning_curve(df: DataFrame, target: str, key: str, numeric: Sequence[str], categories: Sequence[str], shares: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0), folds: int = 5, **forest_args) -> DataFrame:
     """F1 on training and held-out folds for growing shares of the training rows."""
     parts = df.withColumn("_fold", fold(key, folds))

@@ -8,12 +8,16 @@ pairs of points.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohorta.sources.io import kept
+
+# The settings by station density.
 #: (power, max distance, min and max neighbours) by station density: above 5, above 2, else, per km².
 ADAPTIVE_FINE = ((5.0, (2.5, 15_000.0, 4, 8)), (2.0, (2.0, 25_000.0, 3, 10)), (None, (1.5, 50_000.0, 2, 15)))
 ADAPTIVE_COARSE = ((5.0, (1.2, 20_000.0, 3, 6)), (2.0, (1.0, 30_000.0, 3, 8)), (None, (0.8, 60_000.0, 2, 12)))
@@ -177,12 +181,44 @@ def nearest_cell(points: DataFrame, cells: DataFrame, x: str, y: str, x0: float,
     return points.withColumns({"ix": F.when(inside, ix), "iy": F.when(inside, iy)}).join(cells, ["ix", "iy"], "left")
 
 
-def nearest_fill(points: DataFrame, sites: DataFrame, key: str, value: str, radius: float, require_value: bool = True) -> DataFrame:
-    """Points (x, y) whose value is NULL take that of the nearest site (sx, sy) within ``radius``, of those with a value if that is required."""
+def nearest(left: DataFrame, right: DataFrame, key: str, axes: Sequence[tuple[str, str]], gap: Column, chosen: Sequence[Column], radius: float, furthest: float) -> DataFrame:
+    """(key, best): for each row of ``left`` the smallest struct of distance (``gap``) and ``chosen`` among all rows of ``right``.
+
+    Rows meet where their cells on ``axes`` (pairs of column names, at most two, no distance above ``gap``) are neighbours.
+    What lies farther than ``radius`` can't meet so, hence only a best within it is final; the others go on with twice the
+    radius, up to ``furthest``. So each round is an equi-join, and few rows are left for the wide ones.
+    """
+    todo, found = left, []
+    while True:
+        cell = lambda c, r=radius: F.floor(F.col(c) / r).cast("long")
+        a, b, on = todo, right, []
+        for i, (l, r) in enumerate(axes):
+            a = a.withColumn(f"_n{i}", cell(l))
+            b = b.withColumn(f"_n{i}", F.explode(F.array(*[cell(r) + k for k in (-1, 0, 1)])))
+            on.append(f"_n{i}")
+        met = a.join(b, on).groupBy(key).agg(F.min(F.struct(gap.alias("d"), *chosen)).alias("best"))
+        last = radius >= furthest
+        found.append(kept(met if last else met.where(F.col("best.d") <= radius * (1 - 1e-9)), "nearest"))
+        todo = todo.join(found[-1].select(key), key, "left_anti")
+        if last or todo.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        radius *= 2
+
+
+def nearest_fill(points: DataFrame, sites: DataFrame, key: str, value: str, radius: float | None = None, require_value: bool = True) -> DataFrame:
+    """Points (x, y) whose value is NULL take that of the nearest site (sx, sy), within ``radius`` if one is given, of those with a value if that is required."""
     s = sites.select("sx", "sy", F.col(value).alias("_v"))
     s = s.where(F.col("_v").isNotNull()) if require_value else s
-    met = near_join(points.where(F.col(value).isNull()).select(key, "x", "y"), s, "x", "y", "sx", "sy", radius)
-    best = met.groupBy(key).agg(F.min(F.struct("distance", "sx", "sy", "_v")).alias("b")).select(key, F.col("b._v").alias("_fill"))
+    empty = points.where(F.col(value).isNull()).select(key, "x", "y")
+    if radius is not None:
+        met = near_join(empty, s, "x", "y", "sx", "sy", radius)
+        best = met.groupBy(key).agg(F.min(F.struct("distance", "sx", "sy", "_v")).alias("best"))
+    else:
+        sides = points.select("x", "y").union(s.select("sx", "sy")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+        wide = max((sides[1] or 0) - (sides[0] or 0), (sides[3] or 0) - (sides[2] or 0), 1e-9)
+        gap = F.sqrt(F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2))
+        best = nearest(empty, s, key, [("x", "sx"), ("y", "sy")], gap, ["sx", "sy", "_v"], 2 * wide / max(1.0, s.count() ** 0.5), 2 * wide)
+    best = best.select(key, F.col("best._v").alias("_fill"))
     return points.join(best, key, "left").withColumn(value, F.coalesce(F.col(value), F.col("_fill"))).drop("_fill")
 
 
@@ -239,6 +275,31 @@ def moran_local(points: DataFrame, weights: DataFrame, key: str, value: str) ->
     return lag.select(key, F.try_divide(F.col("z") * F.col("lag"), F.lit(m2)).alias("local_i"), quadrant.alias("quadrant"))
 
 
+def moran_local_tested(points: DataFrame, weights: DataFrame, key: str, value: str, rounds: int = 99, seed: int = 1, level: float = 0.05) -> DataFrame:
+    """As :func:`moran_local`, with ``p`` and ``significant``: neighbours' values are drawn anew, by a keyed hash, from all other points.
+
+    Each round gives every neighbour of a point the value at a hashed place among the points, so a round is a join by
+    number, not a reshuffle of the table.
+    """
+    local = moran_local(points, weights, key, value)
+    lag = spatial_lag(points, weights, key, value)
+    cut = lag.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
+    before = cut.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    numbered = kept(cut.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key))).join(F.broadcast(before), "_p").select(key, "z", "lag", (F.col("_i") + F.col("_o") - 1).alias("at")), "numbered")
+    n = numbered.count()
+    drawn = weights.select("i", "j", "w").withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "round", "i", "j"), F.lit(max(n, 1))))
+    sums = drawn.join(numbered.select("at", F.col("z").alias("zr")), "at").groupBy("i", "round").agg(F.sum(F.col("w") * F.col("zr")).alias("lr"))
+    own = numbered.select(F.col(key).alias("i"), "z", "lag")
+    count = sums.join(own, "i").groupBy("i").agg(F.count_if(F.col("z") * F.col("lr") >= F.col("z") * F.col("lag")).alias("k"))
+    p = (F.least(F.col("k"), F.lit(rounds) - F.col("k")) + 1) / F.lit(rounds + 1.0)
+    return local.join(count.select(F.col("i").alias(key), p.alias("p")), key, "left").withColumn("significant", F.coalesce(F.col("p") < level, F.lit(False)))
+
+
+def strongest_cluster(df: DataFrame, cluster: str, z: str) -> DataFrame:
+    """(cluster, z): the cluster whose statistic is largest without its sign, the smallest label of equals."""
+    return df.where(F.col(z).isNotNull()).orderBy(F.abs(z).desc(), cluster).limit(1).select(cluster, z)
+
+
 def moran_slope(points: DataFrame, weights: DataFrame, key: str, value: str) -> DataFrame:
     """(slope, r) of the spatial lag on the value."""
     return spatial_lag(points, weights, key, value).agg(F.regr_slope("lag", "z").alias("slope"), F.corr("lag", "z").alias("r"))

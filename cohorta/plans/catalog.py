@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cohorta.functions import exprs
 from cohorta.operators import cohort, evaluate, exposure, matching, ml, reduce as red, spatial, stats
+from cohorta.sources import io
 from cohorta.streaming import daily
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +32,7 @@ def _query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return io.read_table(spark, f"{d}/{name}.parquet")
 
 
 def _r(df: DataFrame, *columns: str, digits: int = 4) -> DataFrame:

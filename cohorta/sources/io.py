@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +14,23 @@ from pyspark.sql import functions as F
 from cohorta.functions.exprs import kelvin_to_celsius, nan_to_null, require_columns
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in spark.checkpoint.dir, which driver and executors share; where that is unset and all run in one process, in a local folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="cohorta-")
+    return f"{base.rstrip('/')}/cohorta-{tag}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to a scratch path and read back: cuts lineage and outlives lost executors."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", columns: Sequence[str] | None = None) -> DataFrame:
     """A CSV table with a header; texts such as postal codes keep their zeros, as the schema is stated. Only ``columns`` are parsed."""
     df = nan_to_null(spark.read.schema(schema).option("header", True).option("sep", sep).csv(path))
@@ -58,8 +78,9 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return by.select("subset", "strategy", "m.*")
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
-    df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
+def write_csv(df: DataFrame, path: str, sep: str = ";", rows: int = 0, append: bool = False) -> None:
+    """A CSV table with a header, in files of up to ``rows`` rows (0: one for each task), replaced or appended to."""
+    df.write.mode("append" if append else "overwrite").option("header", True).option("sep", sep).option("maxRecordsPerFile", rows).csv(path)
 
 
 def write_monthly(df: DataFrame, path: str, day: str) -> None:
@@ -84,6 +105,30 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_splits(parts: Mapping[str, DataFrame], key: str, path: str) -> None:
+    """(split, key) of the ids of each part, so that a study can be repeated on the same rows."""
+    frames = [df.select(F.lit(name).alias("split"), key).distinct() for name, df in parts.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    out.write.mode("overwrite").partitionBy("split").json(path)
+
+
+def read_split(df: DataFrame, path: str, split: str, key: str) -> DataFrame:
+    """The rows of ``df`` whose id is in a part that :func:`write_splits` has kept."""
+    ids = df.sparkSession.read.schema(f"{key} {df.schema[key].dataType.simpleString()}, split string").json(path)
+    return rows_of(df, ids.where(F.col("split") == split), key)
+
+
+def finished(spark: SparkSession, path: str, key: str = "strategy") -> list[str]:
+    """Names that a state folder of JSON rows holds; none where there is no folder yet."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return []
+    return [r[0] for r in spark.read.schema(f"{key} string").json(path).select(key).distinct().collect()]
+
+
 def metrics_document(metrics: DataFrame, subset: str = "global") -> str:
     """Metrics of a few strategies as one JSON text."""
     return json.dumps({subset: {r["strategy"]: {k: v for k, v in r.asDict(recursive=True).items() if k != "strategy"} for r in metrics.collect()}}, indent=2)

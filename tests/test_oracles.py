@@ -7,7 +7,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from cohorta.plans import catalog
+from cohorta.plans import catalog, extended  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 SLOW = {"rf_strategies", "permutation_importance", "elbow_k", "kmeans_profiles"}
