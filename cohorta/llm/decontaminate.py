@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, fold, materialize, maybe_broadcast
 
 WINDOW, SHORTEST, LEAST, LONG, COVERAGE = 8, 5, 3, 20, 0.6
+#: Words of documents that are looked up together.
+TOGETHER = 50_000
 #: Windows of the benchmark that may be broadcast (16 bytes each, and their items' texts).
 MAX_WINDOWS = 2_000_000
 
@@ -147,32 +149,50 @@ def _match_broadcast(items: list[tuple[int, str]], coverage: float):
     keys = np.concatenate([np.empty(0, np.uint64), *wins])
     owner = np.repeat(np.arange(len(made)), [len(w) for w in wins])
     place = np.concatenate([np.empty(0, np.int64), *[np.arange(len(w)) for w in wins]]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, owner, place = keys[order], owner[order], place[order]
-    sizes = sorted({width(len(m[0])) for _, m in made if len(m[0]) >= SHORTEST})
+    widths = np.array([width(len(m[0])) for _, m in made], dtype=np.int64)[owner] if len(owner) else owner
+    tables = {}
+    for size in sorted(set(widths.tolist())):
+        of = np.flatnonzero(widths == size)
+        of = of[np.argsort(keys[of], kind="stable")]
+        tables[size] = keys[of], owner[of], place[of]
     total = [len(w) for w in wins]
 
+    def pairs(docs: list[tuple]) -> Iterator[tuple]:
+        """(id, item, windows, windows of the item) of documents (id, template, values), whose windows are looked up together."""
+        # a 0 between two documents is in no window of an item
+        words = np.concatenate([x for d in docs for x in (d[1], np.zeros(1, np.uint64))])
+        first = np.concatenate(([0], np.cumsum([len(d[1]) + 1 for d in docs])))
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for size, (known, of, at) in tables.items():
+            if len(words) < size:
+                continue
+            h = fold(words, size)
+            lo = np.searchsorted(known, h)
+            hit = np.flatnonzero(known[np.minimum(lo, len(known) - 1)] == h)
+            if not len(hit):
+                continue
+            hi = np.searchsorted(known, h[hit], "right")
+            whose = np.searchsorted(first, hit, "right") - 1
+            for q, n, d in zip(hit.tolist(), hi.tolist(), whose.tolist()):
+                for j in range(lo[q], n):
+                    found.setdefault((d, int(of[j])), []).append((int(at[j]), q - int(first[d])))
+        for (d, k), starts in sorted(found.items()):
+            n, held, run = covered(made[k][1], docs[d][1:], starts)
+            if held >= coverage * len(made[k][1][0]) or run >= LONG:
+                yield docs[d][0], made[k][0], n, total[k]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Word()
         for batch in batches:
-            ids, texts, out = batch.column(0), batch.column(1), []
-            for at in range(len(texts)):
-                doc = template(texts[at].as_py(), cache)
-                for size in sizes:
-                    if len(doc[0]) < size:
-                        continue
-                    h = fold(doc[0], size)
-                    lo = np.searchsorted(keys, h)
-                    hit = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == h) if len(keys) else []
-                    found: dict[int, list[tuple[int, int]]] = {}
-                    for q in hit:
-                        for j in range(lo[q], np.searchsorted(keys, h[q], "right")):
-                            if width(len(made[owner[j]][1][0])) == size:
-                                found.setdefault(owner[j], []).append((int(place[j]), int(q)))
-                    for k, starts in found.items():
-                        n, words, run = covered(made[k][1], doc, starts)
-                        if words >= coverage * len(made[k][1][0]) or run >= LONG:
-                            out.append((ids[at].as_py(), made[k][0], n, total[k]))
+            out, docs, words = [], [], 0
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                docs.append((i, *template(text.as_py(), cache)))
+                words += len(docs[-1][1])
+                if words >= TOGETHER:
+                    out += pairs(docs)
+                    docs, words = [], 0
+            if docs:
+                out += pairs(docs)
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "windows", "item_windows"])
 
