@@ -682,3 +682,20 @@ def test_pipeline_stages(spark):
             assert roots == list(range(len(texts)))
     assert 0 < docs.count() < before
     assert set(columns) < set(cp.STAGES[-1][1](spark, docs, DATA).columns)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("length(text) > 200").first()["text"]
+    plain = " ".join(f"word{i}" for i in range(60))
+    rows = [(None, item, "en", "a", 1), (None, plain, "en", "a", 1), (5, plain, "en", "a", 1), (5, plain, "en", "a", 1), (6, None, "en", None, None), (6, "", None, "a", 0), (7, f"Mail bob@mail.example.com {item}", "en", "a", 1)]
+    docs = spark.createDataFrame([(*r, 3, "x") for r in rows], f"{DOCS}, own_id int, hits string")
+    left = lambda df: sorted(((r["doc_id"] or 0, (r["text"] or "")[:5]) for r in df.collect()))
+    out = cp.decontamination_stage(spark, docs, DATA)
+    assert out.columns == docs.columns and left(out) == [(0, "word0"), (5, "word0"), (5, "word0"), (6, ""), (6, "")]
+    assert left(cp.dedup_stage(spark, out, DATA)) == [(5, "word0"), (6, ""), (6, "")]
+    new = {r["text"] for r in cp.pii_stage(spark, docs, DATA).where("doc_id = 7").collect()}
+    assert "bob@mail" not in new.pop() and cp.pii_stage(spark, docs, DATA).columns == docs.columns
+    for _, stage in cp.STAGES[1:]:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
