@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,16 +80,39 @@ def band_cascade(controls: DataFrame, cases: DataFrame, key: str, age: str, exac
     """For each control the case within ``width`` years that agrees in the first exact column if any does, then in the next, then has
     the lowest score (squared age gap plus 100 for each mismatch), then the smallest id. Controls without one get NULL.
 
-    The band is an equi-join on age buckets of that width and their neighbours, so no cross join is needed.
+    Controls that agree in age and exact columns ask once. For each set of columns that may agree, cases with the same values of
+    these and the same age are one, with the smallest id; sorted by age, each control looks only at the next of them below and above.
+    So no pairs are made: the work is a sort of these rows, times two to the number of exact columns.
     """
-    bucket = lambda c: F.floor(c / F.lit(width))
-    k = controls.select(F.col(key), F.col(age).alias("_age"), *[F.col(c).alias(f"_k_{c}") for c in exact]).withColumn("_b", F.explode(F.array(*[bucket(F.col("_age")) + i for i in (-1, 0, 1)])))
-    c = cases.select(F.col(key).alias("_case"), F.col(age).alias("_case_age"), F.col(date).alias("_date"), *[F.col(x).alias(f"_c_{x}") for x in exact]).withColumn("_b", bucket(F.col("_case_age")))
-    agree = [F.coalesce((F.col(f"_k_{x}") == F.col(f"_c_{x}")).cast("int"), F.lit(0)) for x in exact]
-    gap = F.col("_age") - F.col("_case_age")
-    score = gap * gap + reduce(lambda a, b: a + b, [(F.lit(1) - a) * 100 for a in agree], F.lit(0))
-    order = F.struct(*[(-a).alias(f"a{i}") for i, a in enumerate(agree)], score.alias("score"), F.col("_case"), F.col("_date"))
-    best = k.join(c, "_b").where(F.abs(gap) <= width).groupBy(key).agg(F.min(order).alias("m"))
+    wide = width * (1 + 1e-9)
+    bucket = lambda c: F.floor(c / F.lit(wide))
+    ages = F.abs(F.col("_age").cast("double")) < F.lit(float("inf"))
+    exact_names = [f"_k_{c}" for c in exact]
+    profile = [F.col(age).alias("_age"), *[F.col(c).alias(n) for c, n in zip(exact, exact_names)]]
+    # NULL agrees with nothing, so a set that needs a missing value is left out.
+    sets = []
+    for on in product((True, False), repeat=len(exact)):
+        fields = [F.lit(-1 if o else 0).alias(f"a{i}") for i, o in enumerate(on)] + [F.when(F.lit(o), F.col(n)).alias(n) for n, o in zip(exact_names, on)]
+        there = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n, o in zip(exact_names, on) if o], F.lit(True))
+        sets.append(F.when(there, F.struct(F.lit(0).alias("_"), *fields)))
+    spread = lambda df: df.where(ages).withColumn("_set", F.explode(F.array_compact(F.array(*sets))))
+    m = F.struct(F.col(key).alias("_case"), F.col(date).alias("_date")).alias("_m")
+    c = spread(cases.select(*profile, m)).groupBy("_set", "_age").agg(F.min("_m").alias("_m")).withColumn("_b", F.explode(F.array(*[bucket(F.col("_age")) + i for i in (-1, 0, 1)])))
+    k = spread(controls.select(*profile).distinct()).withColumn("_b", bucket(F.col("_age")))
+    seen = F.when(F.col("_m").isNotNull(), F.struct("_age", "_m"))
+    near = [F.last(seen, ignorenulls=True).over(Window.partitionBy("_set", "_b").orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow)) for o in (F.col("_age").asc(), F.col("_age").desc())]
+    asked = k.unionByName(c, allowMissingColumns=True).withColumns({"_below": near[0], "_above": near[1]}).where(F.col("_m").isNull())
+
+    def ranked(near: str) -> Column:
+        agree = [F.col(f"_set.a{i}") for i in range(len(exact))]
+        gap = F.col("_age") - F.col(f"{near}._age")
+        score = gap * gap + reduce(lambda a, b: a + b, [(F.lit(1) + a) * 100 for a in agree], F.lit(0))
+        return F.when(F.abs(gap) <= width, F.struct(*[a.alias(f"a{i}") for i, a in enumerate(agree)], score.alias("score"), F.col(f"{near}._m._case").alias("_case"), F.col(f"{near}._m._date").alias("_date")))
+
+    asks = [F.col(n).alias(f"_{n}") for n in ("_age", *exact_names)]
+    best = asked.select(*asks, F.least(ranked("_below"), ranked("_above")).alias("m")).groupBy(*[f"_{n}" for n in ("_age", *exact_names)]).agg(F.min("m").alias("m"))
+    agreed = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in ("_age", *exact_names)])
+    best = controls.select(F.col(key), *profile).join(best, agreed).groupBy(key).agg(F.min("m").alias("m"))
     return controls.select(key).join(best, key, "left").select(key, F.col("m._case").alias("matched_case_id"), F.col("m.score").alias("score"), F.col("m._date").alias("date_reference"))
 
 

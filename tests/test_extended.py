@@ -77,6 +77,37 @@ def test_nearest_case_needs_no_product(spark):
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_band_cascade_makes_no_pairs(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice((None, 20.0, 21.5, 23.0, 40.0, rng.random() * 60)), rng.choice("ab"), rng.choice(("x", "y", "z", None)), int(i % 4 == 0)) for i in range(240)]
+    rows += [(1000 + i, 70.0, "a", "x", int(i >= 300)) for i in range(600)]
+    d = spark.createDataFrame(rows, "id long, age double, s string, p string, is_case int").withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")))
+    out = matching.band_cascade(d.where("is_case = 0"), d.where("is_case = 1"), "id", "age", ["s", "p"], "day")
+    got = {r["id"]: r for r in out.collect()}
+    cases = [q for q in rows if q[4] and q[1] is not None]
+    for r in [r for r in rows if not r[4]]:
+        agree = lambda q: [q[k] is not None and r[k] == q[k] for k in (2, 3)]
+        score = lambda q: (r[1] - q[1]) * (r[1] - q[1]) + sum(100 for a in agree(q) if not a)
+        near = min((q for q in cases if r[1] is not None and abs(r[1] - q[1]) <= 3), key=lambda q: ([not a for a in agree(q)], score(q), q[0]), default=None)
+        assert (got[r[0]]["matched_case_id"], got[r[0]]["score"]) == ((near[0], score(near)) if near else (None, None))
+    plan = out._jdf.queryExecution()
+    out.collect()
+    made = []
+    walk = [plan.executedPlan()]
+    while walk:
+        node = walk.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            walk.append(node.executedPlan())
+            continue
+        if node.nodeName().endswith("QueryStage"):
+            walk.append(node.plan())
+        rows_out = node.metrics().get("numOutputRows")
+        if rows_out.isDefined():
+            made.append(rows_out.get().value())
+        walk += [node.children().apply(i) for i in range(node.children().size())]
+    assert max(made) < 20 * len(rows)
+
+
 def test_tested_local_moran(spark):
     p = table(spark, ["id", "x", "y", "t"], [(i, i % 10, i // 10, 10.0 if i % 10 < 5 else -10.0) for i in range(100)])
     w = spatial.distance_band(p, "id", "x", "y", 1.5)
