@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohorta.operators.cells import finite, nearest_rows, sums_within
 from cohorta.sources.io import kept
 
 # The settings by station density.
@@ -84,8 +85,7 @@ def idw_cross_validation(stations: DataFrame, key: str, value: str, folds: int =
     s = stations.withColumn("fold", F.pmod(F.col(key), F.lit(folds)))
     test = s.select(F.col(key).alias("target"), F.col("fold"), F.col("sx").alias("x"), F.col("sy").alias("y"), F.col(value).alias("truth"))
     train = s.select(F.col("fold").alias("train_fold"), "sx", "sy", value)
-    met = near_join(test, train, "x", "y", "sx", "sy", radius).where("fold != train_fold")
-    ranked = met.withColumn("_r", F.row_number().over(Window.partitionBy("target").orderBy("distance", "sx", "sy"))).where(F.col("_r") <= most)
+    ranked = nearest_rows(test, train, ["target"], most, radius, apart=("fold", "train_fold"))
     w = F.when(F.col("distance") > 0, 1 / F.pow("distance", F.lit(power)))
     est = ranked.groupBy("target", "fold", "truth").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.when(F.col("distance") == 0, F.col(value))), F.sum(w * F.col(value)) / F.sum(w)).alias("e")).where(F.col("n") >= least)
     return est.groupBy("fold").agg(F.avg(F.abs(F.col("e") - F.col("truth"))).alias("mae"), F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohorta.functions import exprs
-from cohorta.operators import matching, ml, reduce as red, spatial, stats
+from cohorta.operators import cells, matching, ml, reduce as red, spatial, stats
 from cohorta.plans import catalog
 from cohorta.sources import io
 
@@ -77,6 +77,40 @@ def test_nearest_case_needs_no_product(spark):
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def most_rows(df):
+    """Rows that the largest step of the collected frame's plan put out."""
+    df.collect()
+    made, walk = [], [df._jdf.queryExecution().executedPlan()]
+    while walk:
+        node = walk.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            walk.append(node.executedPlan())
+            continue
+        if node.nodeName().endswith("QueryStage"):
+            walk.append(node.plan())
+        rows = node.metrics().get("numOutputRows")
+        if rows.isDefined():
+            made.append(rows.get().value())
+        walk += [node.children().apply(i) for i in range(node.children().size())]
+    return max(made)
+
+
+def crowded(seed, n):
+    """Places with copies, neighbours at exactly the radius of 3 or 5, a cluster, far and missing ones."""
+    rng = np.random.default_rng(seed)
+    xy = np.vstack([rng.integers(0, 12, size=(n // 2, 2)).astype(float), rng.normal(size=(n - n // 2 - 1, 2)) * [0.4, 3.0] + 5.0, [[4000.0, -7.0]]])
+    return [(i, float(x), float(y), float(np.round(rng.normal(), 2))) for i, (x, y) in enumerate(xy)] + [(n, None, 1.0, 1.0), (n + 1, float("nan"), 1.0, 1.0)]
+
+
+def gap(p, q):
+    return float("nan") if None in (p[1], q[1]) else np.sqrt((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2)
+
+
+def weighted(near):
+    at = [v for d, *_, v in near if d == 0]
+    return max(at) if at else sum(v / d**2 for d, *_, v in near) / sum(1 / d**2 for d, *_ in near)
+
+
 def test_band_cascade_makes_no_pairs(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice((None, 20.0, 21.5, 23.0, 40.0, rng.random() * 60)), rng.choice("ab"), rng.choice(("x", "y", "z", None)), int(i % 4 == 0)) for i in range(240)]
@@ -90,22 +124,33 @@ def test_band_cascade_makes_no_pairs(spark):
         score = lambda q: (r[1] - q[1]) * (r[1] - q[1]) + sum(100 for a in agree(q) if not a)
         near = min((q for q in cases if r[1] is not None and abs(r[1] - q[1]) <= 3), key=lambda q: ([not a for a in agree(q)], score(q), q[0]), default=None)
         assert (got[r[0]]["matched_case_id"], got[r[0]]["score"]) == ((near[0], score(near)) if near else (None, None))
-    plan = out._jdf.queryExecution()
-    out.collect()
-    made = []
-    walk = [plan.executedPlan()]
-    while walk:
-        node = walk.pop()
-        if node.nodeName() == "AdaptiveSparkPlan":
-            walk.append(node.executedPlan())
-            continue
-        if node.nodeName().endswith("QueryStage"):
-            walk.append(node.plan())
-        rows_out = node.metrics().get("numOutputRows")
-        if rows_out.isDefined():
-            made.append(rows_out.get().value())
-        walk += [node.children().apply(i) for i in range(node.children().size())]
-    assert max(made) < 20 * len(rows)
+    assert most_rows(out) < 20 * len(rows)
+
+
+@pytest.mark.parametrize("size", [50_000, 70])
+def test_cross_validated_interpolation_makes_no_pairs(spark, monkeypatch, size):
+    monkeypatch.setattr(cells, "SLICE", size)
+    rows = crowded(1, 700)
+    s = spark.createDataFrame(rows, "id long, sx double, sy double, v double")
+    out = spatial.idw_cross_validation(s, "id", "v", radius=5.0, most=4).collect()
+    errors = {f: [] for f in range(5)}
+    for p in rows:
+        near = sorted((gap(p, q), *q[1:]) for q in rows if q[0] % 5 != p[0] % 5 and gap(p, q) <= 5)[:4]
+        if len(near) >= 3:
+            errors[p[0] % 5].append(abs(weighted(near) - p[3]))
+    assert {r["fold"]: r["n"] for r in out} == {f: len(e) for f, e in errors.items()}
+    if size > len(rows):
+        dense = s.where("sx < 100").select("id", "v", (F.col("sx") / 100).alias("sx"), (F.col("sy") / 100).alias("sy"))
+        assert most_rows(spatial.idw_cross_validation(dense, "id", "v", radius=5.0, most=4)) < 20 * len(rows)
+    # Copies of a place in several folds are told apart by fold, not by value, so errors are compared without them.
+    once = list({(p[1], p[2]): p for p in rows if p[1] is not None}.values())
+    out = spatial.idw_cross_validation(spark.createDataFrame(once, "id long, sx double, sy double, v double"), "id", "v", radius=5.0, most=4).collect()
+    errors = {f: [] for f in range(5)}
+    for p in once:
+        near = sorted((gap(p, q), *q[1:]) for q in once if q[0] % 5 != p[0] % 5 and gap(p, q) <= 5)[:4]
+        if len(near) >= 3:
+            errors[p[0] % 5].append(abs(weighted(near) - p[3]))
+    assert {r["fold"]: r["mae"] for r in out} == {f: pytest.approx(np.mean(e), rel=1e-9, nan_ok=True) for f, e in errors.items()}
 
 
 def test_tested_local_moran(spark):
