@@ -44,9 +44,8 @@ def near_join(left: DataFrame, right: DataFrame, lx: str, ly: str, rx: str, ry:
 def idw(targets: DataFrame, stations: DataFrame, target_keys: Sequence[str], value: str, radius: float, power: float = 2.0, smoothing: float = 0.0, least: int = 3, most: int = 12, on: Sequence[str] = ()) -> DataFrame:
     """Inverse distance weighting of each target (x, y) from the nearest ``most`` stations (sx, sy, value) within ``radius``;
     NULL with fewer than ``least``. A target on a station takes its value where smoothing is 0."""
-    met = near_join(targets, stations.where(F.col(value).isNotNull()), "x", "y", "sx", "sy", radius, on)
     keys = [*target_keys, *on]
-    ranked = met.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("distance", "sx", "sy"))).where(F.col("_r") <= most)
+    ranked = nearest_rows(targets.select(*keys, "x", "y"), stations.where(F.col(value).isNotNull()).select("sx", "sy", value, *on), target_keys, most, radius, on)
     d = F.col("distance") + smoothing
     w = F.when(d > 0, 1 / F.pow(d, F.lit(power)))
     exact = F.max(F.when(d == 0, F.col(value)))

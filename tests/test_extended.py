@@ -153,6 +153,23 @@ def test_cross_validated_interpolation_makes_no_pairs(spark, monkeypatch, size):
     assert {r["fold"]: r["mae"] for r in out} == {f: pytest.approx(np.mean(e), rel=1e-9, nan_ok=True) for f, e in errors.items()}
 
 
+@pytest.mark.parametrize("size", [50_000, 70])
+def test_interpolation_makes_no_pairs(spark, monkeypatch, size):
+    monkeypatch.setattr(cells, "SLICE", size)
+    rows = crowded(2, 900)
+    targets, stations = [r for r in rows if r[0] % 3], [r for r in rows if not r[0] % 3]
+    t = spark.createDataFrame([r[:3] for r in targets], "id long, x double, y double")
+    s = spark.createDataFrame([(*r[1:], "d") for r in stations] + [(5.0, 5.0, None, "d"), (5.0, 5.0, 9.0, None)], "sx double, sy double, v double, day string")
+    out = spatial.idw(t.withColumn("day", F.lit("d")), s, ["id"], "v", 3.0, most=5, on=["day"])
+    got = {r["id"]: r for r in out.collect()}
+    assert len(got) == len(targets)
+    for p in targets:
+        near = sorted((gap(p, q), *q[1:]) for q in stations if gap(p, q) <= 3)[:5]
+        assert got[p[0]]["n_neighbors"] == len(near) and got[p[0]]["estimate"] == (pytest.approx(weighted(near)) if len(near) >= 3 else None)
+    if size > len(rows):
+        assert most_rows(spatial.idw(t.withColumn("day", F.lit("d")).where("x < 100"), s, ["id"], "v", 300.0, most=5, on=["day"])) < 20 * len(rows)
+
+
 def test_tested_local_moran(spark):
     p = table(spark, ["id", "x", "y", "t"], [(i, i % 10, i // 10, 10.0 if i % 10 < 5 else -10.0) for i in range(100)])
     w = spatial.distance_band(p, "id", "x", "y", 1.5)
