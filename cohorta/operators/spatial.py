@@ -210,8 +210,8 @@ def nearest_fill(points: DataFrame, sites: DataFrame, key: str, value: str, radi
     s = s.where(F.col("_v").isNotNull()) if require_value else s
     empty = points.where(F.col(value).isNull()).select(key, "x", "y")
     if radius is not None:
-        met = near_join(empty, s, "x", "y", "sx", "sy", radius)
-        best = met.groupBy(key).agg(F.min(F.struct("distance", "sx", "sy", "_v")).alias("best"))
+        one = s.groupBy("sx", "sy").agg(F.min(F.struct("_v")).alias("best"))
+        best = nearest_rows(empty, one, [key], 1, radius).select(key, "best")
     else:
         sides = points.select("x", "y").union(s.select("sx", "sy")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
         wide = max((sides[1] or 0) - (sides[0] or 0), (sides[3] or 0) - (sides[2] or 0), 1e-9)

@@ -170,6 +170,21 @@ def test_interpolation_makes_no_pairs(spark, monkeypatch, size):
         assert most_rows(spatial.idw(t.withColumn("day", F.lit("d")).where("x < 100"), s, ["id"], "v", 300.0, most=5, on=["day"])) < 20 * len(rows)
 
 
+@pytest.mark.parametrize("size", [50_000, 70])
+def test_fill_within_a_radius_makes_no_pairs(spark, monkeypatch, size):
+    monkeypatch.setattr(cells, "SLICE", size)
+    rows = crowded(3, 900)
+    p = spark.createDataFrame([(i, x, y, None if i % 3 else f"{v}") for i, x, y, v in rows], "id long, x double, y double, v string")
+    s = p.select(F.col("x").alias("sx"), F.col("y").alias("sy"), "v")
+    got = {r["id"]: r["v"] for r in spatial.nearest_fill(p, s, "id", "v", 3.0).collect()}
+    sites = [q for q in rows if q[0] % 3 == 0]
+    for r in rows:
+        near = min(((gap(r, q), q[1], q[2], f"{q[3]}") for q in sites if gap(r, q) <= 3), default=(None,))
+        assert got[r[0]] == (near[-1] if r[0] % 3 else f"{r[3]}")
+    if size > len(rows):
+        assert most_rows(spatial.nearest_fill(p.where("x < 100"), s, "id", "v", 300.0)) < 20 * len(rows)
+
+
 def test_tested_local_moran(spark):
     p = table(spark, ["id", "x", "y", "t"], [(i, i % 10, i // 10, 10.0 if i % 10 < 5 else -10.0) for i in range(100)])
     w = spatial.distance_band(p, "id", "x", "y", 1.5)
