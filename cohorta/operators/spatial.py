@@ -230,8 +230,46 @@ def distance_band(points: DataFrame, key: str, x: str, y: str, radius: float) ->
     return met.join(degree, "i")
 
 
-def spatial_lag(points: DataFrame, weights: DataFrame, key: str, value: str) -> DataFrame:
+class Band:
+    """The weights of :func:`distance_band`, told by their points and radius instead of listed.
+
+    Lags and Moran statistics of these points then need no pairs: neighbours are summed where they meet. The pairs are
+    listed where keys repeat, or where the statistics are of other points.
+    """
+
+    def __init__(self, points: DataFrame, key: str, x: str, y: str, radius: float) -> None:
+        self.points, self.key, self.x, self.y, self.radius = points, key, x, y, radius
+
+    def links(self) -> DataFrame:
+        return distance_band(self.points, self.key, self.x, self.y, self.radius)
+
+    def summable(self, points: DataFrame, key: str) -> bool:
+        return points is self.points and key == self.key and points.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty()
+
+    def lag(self, z: DataFrame) -> DataFrame:
+        """(key, z, lag, degree) of (key, z, x, y): rows without a key or with coordinates that are not finite have no neighbours."""
+        key = F.col(self.key)
+        here = z.where(key.isNotNull() & finite("_x", "_y"))
+        places = here.groupBy(F.col("_x").alias("x"), F.col("_y").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.coalesce(F.sum("z"), F.lit(0.0)).alias("s"))
+        around = places.select(F.col("x").alias("_x"), F.col("y").alias("_y"), "c", F.col("s").alias("_same")).join(sums_within(places, self.radius).select(F.col("x").alias("_x"), F.col("y").alias("_y"), "n", "s"), ["_x", "_y"], "left")
+        degree = F.when(key.isNotNull(), F.coalesce("n", F.lit(0)) + F.col("c") - 1)
+        total = F.coalesce("s", F.lit(0.0)) + F.when(F.col("c") > 1, F.col("_same") - F.coalesce("z", F.lit(0.0))).otherwise(0.0)
+        out = z.join(around, ["_x", "_y"], "left").withColumn("degree", F.coalesce(degree, F.lit(0)))
+        return out.select(self.key, "z", F.when(F.col("degree") > 0, total / F.col("degree")).otherwise(0.0).alias("lag"), "degree")
+
+
+def _lag(points: DataFrame, weights: Band, key: str, value: str) -> DataFrame:
+    mean = points.agg(F.avg(value)).first()[0]
+    at = [F.col(c).cast("double").alias(n) for c, n in ((weights.x, "_x"), (weights.y, "_y"))]
+    return weights.lag(points.select(F.col(key), (F.col(value) - F.lit(mean)).alias("z"), *at))
+
+
+def spatial_lag(points: DataFrame, weights: DataFrame | Band, key: str, value: str) -> DataFrame:
     """(key, z, lag): centred value and the weighted mean of the neighbours' (0 without neighbours)."""
+    if isinstance(weights, Band):
+        if weights.summable(points, key):
+            return _lag(points, weights, key, value).select(key, "z", "lag")
+        weights = weights.links()
     mean = points.agg(F.avg(value)).first()[0]
     z = points.select(F.col(key), (F.col(value) - F.lit(mean)).alias("z"))
     lag = weights.join(z.select(F.col(key).alias("j"), F.col("z").alias("zj")), "j").groupBy("i").agg(F.sum(F.col("w") * F.col("zj")).alias("lag"))
@@ -240,10 +278,13 @@ def spatial_lag(points: DataFrame, weights: DataFrame, key: str, value: str) ->
 
 def moran_global(points: DataFrame, weights: DataFrame, key: str, value: str) -> DataFrame:
     """(moran_i, expected, n): NULL for a constant value."""
-    s0 = weights.agg(F.sum("w")).first()[0] or 0.0
-    lag = spatial_lag(points, weights, key, value)
-    s = lag.agg(F.sum(F.col("z") * F.col("lag")).alias("a"), F.sum(F.col("z") * F.col("z")).alias("b"), F.count(F.lit(1)).alias("n"))
-    i = F.try_divide(F.col("n") / F.lit(s0 or None).cast("double") * F.col("a"), F.col("b"))
+    if isinstance(weights, Band) and weights.summable(points, key):
+        lag, s0 = _lag(points, weights, key, value), F.count_if(F.col("degree") > 0)
+    else:
+        weights = weights.links() if isinstance(weights, Band) else weights
+        lag, s0 = spatial_lag(points, weights, key, value), F.lit(weights.agg(F.sum("w")).first()[0])
+    s = lag.agg(F.sum(F.col("z") * F.col("lag")).alias("a"), F.sum(F.col("z") * F.col("z")).alias("b"), F.count(F.lit(1)).alias("n"), s0.cast("double").alias("s0"))
+    i = F.try_divide(F.try_divide(F.col("n"), F.col("s0")) * F.col("a"), F.col("b"))
     return s.select(i.alias("moran_i"), F.try_divide(F.lit(-1.0), F.col("n") - 1).alias("expected"), "n")
 
 

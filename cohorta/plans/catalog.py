@@ -520,6 +520,11 @@ def _band(spark, d):
     return p, spatial.distance_band(p, "id", "x", "y", 25.0)
 
 
+def _near(spark, d):
+    p = _points(spark, d)
+    return p, spatial.Band(p, "id", "x", "y", 25.0)
+
+
 @_query(f"WITH {_BAND} SELECT i, j, round(w, 4) AS w FROM w")
 def distance_band_neighbors(spark, d):
     return _r(_band(spark, d)[1].select("i", "j", "w"), "w")
@@ -527,7 +532,7 @@ def distance_band_neighbors(spark, d):
 
 @_query(f"WITH {_BAND} SELECT round((SELECT count(*) FROM pts) / (SELECT sum(w) FROM w) * sum(z * lag) / sum(z * z), 4) AS moran_i, round(-1.0 / (count(*) - 1), 6)::DOUBLE AS expected, count(*) AS n FROM l")
 def moran_global(spark, d):
-    return _r(_r(spatial.moran_global(*_band(spark, d), "id", "t"), "moran_i"), "expected", digits=6)
+    return _r(_r(spatial.moran_global(*_near(spark, d), "id", "t"), "moran_i"), "expected", digits=6)
 
 
 @_query(f"WITH {_BAND} SELECT id, CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN z <= 0 AND lag > 0 THEN 2 WHEN z <= 0 THEN 3 ELSE 4 END AS quadrant FROM l")

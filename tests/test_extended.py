@@ -185,6 +185,34 @@ def test_fill_within_a_radius_makes_no_pairs(spark, monkeypatch, size):
         assert most_rows(spatial.nearest_fill(p.where("x < 100"), s, "id", "v", 300.0)) < 20 * len(rows)
 
 
+def lags(rows, radius):
+    mean = np.mean([r[3] for r in rows])
+    near = {p[0]: [q[3] - mean for q in rows if q[0] != p[0] and gap(p, q) <= radius] for p in rows}
+    return {p[0]: (p[3] - mean, float(np.mean(near[p[0]])) if near[p[0]] else 0.0, len(near[p[0]])) for p in rows}
+
+
+@pytest.mark.parametrize("size", [50_000, 70])
+def test_global_moran_makes_no_pairs(spark, monkeypatch, size):
+    monkeypatch.setattr(cells, "SLICE", size)
+    rows = crowded(4, 900)
+    p = spark.createDataFrame(rows, "id long, x double, y double, v double")
+    for radius in (3.0, 0.25):
+        want, band = lags(rows, radius), spatial.Band(p, "id", "x", "y", radius)
+        got = {r["id"]: r for r in spatial.spatial_lag(p, band, "id", "v").collect()}
+        assert {k: (r["z"], r["lag"]) for k, r in got.items()} == {k: (pytest.approx(z), pytest.approx(m, abs=1e-9)) for k, (z, m, _) in want.items()}
+        one = spatial.moran_global(p, band, "id", "v").first()
+        whole = sum(z * m for z, m, _ in want.values()) / sum(z * z for z, _, _ in want.values()) * len(rows) / sum(n > 0 for _, _, n in want.values())
+        assert one["moran_i"] == pytest.approx(whole) and one["n"] == len(rows)
+    flat = p.withColumn("v", F.lit(2.0))
+    assert spatial.moran_global(flat, spatial.Band(flat, "id", "x", "y", 3.0), "id", "v").first()["moran_i"] is None
+    twice = p.union(p.where("id = 3"))
+    listed = spatial.moran_global(twice, spatial.distance_band(twice, "id", "x", "y", 3.0), "id", "v").first()
+    assert spatial.moran_global(twice, spatial.Band(twice, "id", "x", "y", 3.0), "id", "v").first()["moran_i"] == pytest.approx(listed["moran_i"])
+    if size > len(rows):
+        dense = p.where("x < 100")
+        assert most_rows(spatial.moran_global(dense, spatial.Band(dense, "id", "x", "y", 300.0), "id", "v")) < 20 * len(rows)
+
+
 def test_tested_local_moran(spark):
     p = table(spark, ["id", "x", "y", "t"], [(i, i % 10, i // 10, 10.0 if i % 10 < 5 else -10.0) for i in range(100)])
     w = spatial.distance_band(p, "id", "x", "y", 1.5)
