@@ -276,7 +276,7 @@ def spatial_lag(points: DataFrame, weights: DataFrame | Band, key: str, value: s
     return z.join(lag.withColumnRenamed("i", key), key, "left").withColumn("lag", F.coalesce("lag", F.lit(0.0)))
 
 
-def moran_global(points: DataFrame, weights: DataFrame, key: str, value: str) -> DataFrame:
+def moran_global(points: DataFrame, weights: DataFrame | Band, key: str, value: str) -> DataFrame:
     """(moran_i, expected, n): NULL for a constant value."""
     if isinstance(weights, Band) and weights.summable(points, key):
         lag, s0 = _lag(points, weights, key, value), F.count_if(F.col("degree") > 0)
@@ -307,9 +307,13 @@ def moran_permutations(points: DataFrame, weights: DataFrame, key: str, value: s
     return s.select(((tail + 1) / F.lit(rounds + 1.0)).alias("p"), "mean", "sd", F.try_divide(F.lit(observed) - F.col("mean"), F.col("sd")).alias("z"))
 
 
-def moran_local(points: DataFrame, weights: DataFrame, key: str, value: str) -> DataFrame:
+def moran_local(points: DataFrame, weights: DataFrame | Band, key: str, value: str) -> DataFrame:
     """(key, local_i, quadrant): 1 high among high, 2 low among high, 3 low among low, 4 high among low."""
     lag = spatial_lag(points, weights, key, value)
+    return _quadrants(kept(lag, "lag") if isinstance(weights, Band) else lag, key)
+
+
+def _quadrants(lag: DataFrame, key: str) -> DataFrame:
     m2 = lag.agg(F.avg(F.col("z") * F.col("z"))).first()[0]
     quadrant = F.when((F.col("z") > 0) & (F.col("lag") > 0), 1).when((F.col("z") <= 0) & (F.col("lag") > 0), 2).when((F.col("z") <= 0) & (F.col("lag") <= 0), 3).otherwise(4)
     return lag.select(key, F.try_divide(F.col("z") * F.col("lag"), F.lit(m2)).alias("local_i"), quadrant.alias("quadrant"))

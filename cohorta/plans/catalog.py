@@ -537,7 +537,7 @@ def moran_global(spark, d):
 
 @_query(f"WITH {_BAND} SELECT id, CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN z <= 0 AND lag > 0 THEN 2 WHEN z <= 0 THEN 3 ELSE 4 END AS quadrant FROM l")
 def moran_local_quadrant(spark, d):
-    return spatial.moran_local(*_band(spark, d), "id", "t").select("id", "quadrant")
+    return spatial.moran_local(*_near(spark, d), "id", "t").select("id", "quadrant")
 
 
 @_query(f"WITH {_BAND} SELECT round(regr_slope(lag, z), 4) AS slope, round(corr(lag, z), 4) AS r FROM l")

@@ -213,6 +213,18 @@ def test_global_moran_makes_no_pairs(spark, monkeypatch, size):
         assert most_rows(spatial.moran_global(dense, spatial.Band(dense, "id", "x", "y", 300.0), "id", "v")) < 20 * len(rows)
 
 
+def test_local_moran_makes_no_pairs(spark, monkeypatch):
+    rows = crowded(5, 600)
+    p, want = spark.createDataFrame(rows, "id long, x double, y double, v double"), lags(rows, 3.0)
+    monkeypatch.setattr(spatial, "distance_band", None)
+    m2 = np.mean([z * z for z, _, _ in want.values()])
+    got = {r["id"]: r for r in spatial.moran_local(p, spatial.Band(p, "id", "x", "y", 3.0), "id", "v").collect()}
+    for k, (z, m, _) in want.items():
+        assert got[k]["local_i"] == pytest.approx(z * m / m2, abs=1e-9)
+        assert abs(m) < 1e-9 or got[k]["quadrant"] == {(True, True): 1, (False, True): 2, (False, False): 3, (True, False): 4}[z > 0, m > 0]
+    assert catalog.QUERIES["moran_local_quadrant"](spark, DATA).count() > 0
+
+
 def test_tested_local_moran(spark):
     p = table(spark, ["id", "x", "y", "t"], [(i, i % 10, i // 10, 10.0 if i % 10 < 5 else -10.0) for i in range(100)])
     w = spatial.distance_band(p, "id", "x", "y", 1.5)
