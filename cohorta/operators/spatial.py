@@ -344,6 +344,6 @@ def strongest_cluster(df: DataFrame, cluster: str, z: str) -> DataFrame:
     return df.where(F.col(z).isNotNull()).orderBy(F.abs(z).desc(), cluster).limit(1).select(cluster, z)
 
 
-def moran_slope(points: DataFrame, weights: DataFrame, key: str, value: str) -> DataFrame:
+def moran_slope(points: DataFrame, weights: DataFrame | Band, key: str, value: str) -> DataFrame:
     """(slope, r) of the spatial lag on the value."""
     return spatial_lag(points, weights, key, value).agg(F.regr_slope("lag", "z").alias("slope"), F.corr("lag", "z").alias("r"))

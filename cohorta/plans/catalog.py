@@ -542,7 +542,7 @@ def moran_local_quadrant(spark, d):
 
 @_query(f"WITH {_BAND} SELECT round(regr_slope(lag, z), 4) AS slope, round(corr(lag, z), 4) AS r FROM l")
 def moran_slope(spark, d):
-    return _r(spatial.moran_slope(*_band(spark, d), "id", "t"), "slope", "r")
+    return _r(spatial.moran_slope(*_near(spark, d), "id", "t"), "slope", "r")
 
 
 # ---- evaluation -----------------------------------------------------------------------------------

@@ -225,6 +225,16 @@ def test_local_moran_makes_no_pairs(spark, monkeypatch):
     assert catalog.QUERIES["moran_local_quadrant"](spark, DATA).count() > 0
 
 
+def test_slope_makes_no_pairs(spark, monkeypatch):
+    rows = crowded(6, 600)
+    p, want = spark.createDataFrame(rows, "id long, x double, y double, v double"), lags(rows, 3.0)
+    monkeypatch.setattr(spatial, "distance_band", None)
+    one = spatial.moran_slope(p, spatial.Band(p, "id", "x", "y", 3.0), "id", "v").first()
+    z, m = (np.array([w[k] for w in want.values()]) for k in (0, 1))
+    assert one["slope"] == pytest.approx(np.polyfit(z, m, 1)[0]) and one["r"] == pytest.approx(np.corrcoef(z, m)[0, 1])
+    assert catalog.QUERIES["moran_slope"](spark, DATA).count() == 1
+
+
 def test_tested_local_moran(spark):
     p = table(spark, ["id", "x", "y", "t"], [(i, i % 10, i // 10, 10.0 if i % 10 < 5 else -10.0) for i in range(100)])
     w = spatial.distance_band(p, "id", "x", "y", 1.5)
