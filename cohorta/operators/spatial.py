@@ -319,12 +319,45 @@ def _quadrants(lag: DataFrame, key: str) -> DataFrame:
     return lag.select(key, F.try_divide(F.col("z") * F.col("lag"), F.lit(m2)).alias("local_i"), quadrant.alias("quadrant"))
 
 
-def moran_local_tested(points: DataFrame, weights: DataFrame, key: str, value: str, rounds: int = 99, seed: int = 1, level: float = 0.05) -> DataFrame:
+def _tested(lag: DataFrame, key: str, rounds: int, seed: int) -> DataFrame:
+    """(key, p) of (key, z, lag, degree): a round is one order of all points by a keyed hash, and a point with k neighbours draws the
+    first k others of it. So all draws are sums from the front of a round, and only as much of it is sorted as the most neighbours need."""
+    n, most, m2 = lag.agg(F.count(F.lit(1)), F.max("degree"), F.avg(F.col("z") * F.col("z"))).first()
+    need = (most or 0) + 1
+    hashed = lag.select(key, F.coalesce("z", F.lit(0.0)).alias("zr")).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("h", F.xxhash64(F.lit(seed), "round", key))
+    share = (need + 6 * need**0.5 + 30) / max(n, 1)
+    while True:
+        front = kept(hashed if share >= 1 else hashed.where(F.col("h") < F.lit(int(-(2**63) + share * 2**64))), "front")
+        held = front.groupBy("round").count().agg(F.count(F.lit(1)), F.min("count")).first()
+        if share >= 1 or (held[0] == rounds and held[1] >= need):
+            break
+        share *= 2
+    order = Window.partitionBy("round").orderBy("h", key)
+    drawn = kept(front.select("round", key, F.row_number().over(order).alias("m"), F.sum("zr").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("c")).where(F.col("m") <= need), "drawn")
+    sums = lag.where("degree > 0").select("degree").distinct().withColumn("m", F.explode(F.array(F.col("degree"), F.col("degree") + 1))).join(drawn.select("round", "m", "c"), "m")
+    by_round = lambda more: F.sort_array(F.collect_list(F.when(F.col("m") == F.col("degree") + more, F.struct("round", "c"))))
+    sums = sums.groupBy("degree").agg(by_round(0).alias("_first"), by_round(1).alias("_next"))
+    own = drawn.where(F.col(key).isNotNull()).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("round", "m"))).alias("_own"))
+    z, k = F.col("z"), F.col("degree")
+    # Oneself is passed over for the next. Equal sums may differ by rounding.
+    other = lambda r: F.when(F.try_element_at("_own", r) <= k, F.element_at("_next", r)["c"] - z).otherwise(F.element_at("_first", r)["c"]) / k
+    above = F.size(F.filter(F.sequence(F.lit(1), F.lit(rounds)), lambda r: z * other(r) >= z * F.col("lag") - F.lit(1e-9 * (m2 or 0.0))))
+    p = (F.least(above, F.lit(rounds) - above) + 1) / F.lit(rounds + 1.0)
+    return lag.where("degree > 0").join(sums, "degree").join(own, key, "left").select(key, p.alias("p"))
+
+
+def moran_local_tested(points: DataFrame, weights: DataFrame | Band, key: str, value: str, rounds: int = 99, seed: int = 1, level: float = 0.05) -> DataFrame:
     """As :func:`moran_local`, with ``p`` and ``significant``: neighbours' values are drawn anew, by a keyed hash, from all other points.
 
-    Each round gives every neighbour of a point the value at a hashed place among the points, so a round is a join by
-    number, not a reshuffle of the table.
+    With a band, a round draws without replacement and in one order for all points (as esda does), so no pair is listed. With
+    listed weights each round gives every neighbour of a point the value at a hashed place among the points, so a round is
+    a join by number, not a reshuffle of the table.
     """
+    if isinstance(weights, Band):
+        if weights.summable(points, key):
+            lag = kept(_lag(points, weights, key, value), "lag")
+            return _quadrants(lag, key).join(_tested(lag, key, rounds, seed), key, "left").withColumn("significant", F.coalesce(F.col("p") < level, F.lit(False)))
+        weights = weights.links()
     local = moran_local(points, weights, key, value)
     lag = spatial_lag(points, weights, key, value)
     cut = lag.repartitionByRange(key).withColumn("_p", F.spark_partition_id())

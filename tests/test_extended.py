@@ -245,6 +245,26 @@ def test_tested_local_moran(spark):
     assert (best["cluster"], best["z"]) == (1.0, -5.0)
 
 
+def test_tested_local_moran_makes_no_pairs(spark, monkeypatch):
+    p = table(spark, ["id", "x", "y", "t"], [(i, i % 10, i // 10, 10.0 if i % 10 < 5 else -10.0) for i in range(100)] + [(100, 900, 0, 0)])
+    listed = {r["id"]: r for r in spatial.moran_local_tested(p, spatial.distance_band(p, "id", "x", "y", 1.5), "id", "t", rounds=99).collect()}
+    rows = {r["id"]: (r["z"], r["lag"], r["degree"]) for r in spatial._lag(p, spatial.Band(p, "id", "x", "y", 1.5), "id", "t").collect()}
+    hashes = {(r["round"], r["id"]): r["h"] for r in p.select("id", F.explode(F.sequence(F.lit(1), F.lit(99))).alias("round")).withColumn("h", F.xxhash64(F.lit(1), "round", "id")).collect()}
+    monkeypatch.setattr(spatial, "distance_band", None)
+    out = spatial.moran_local_tested(p, spatial.Band(p, "id", "x", "y", 1.5), "id", "t", rounds=99)
+    got = {r["id"]: r for r in out.collect()}
+    assert {k: r["quadrant"] for k, r in got.items()} == {k: r["quadrant"] for k, r in listed.items()}
+    orders = [sorted(rows, key=lambda i: hashes[r, i]) for r in range(1, 100)]
+    for i, (z, lag, degree) in rows.items():
+        draws = [[q for q in o if q != i][:degree] for o in orders]
+        above = sum(z * np.mean([rows[q][0] for q in d]) >= z * lag - 1e-7 for d in draws) if degree else None
+        assert got[i]["p"] == (pytest.approx((min(above, 99 - above) + 1) / 100) if degree else None)
+    inside = [i for i in range(100) if i % 10 in (1, 2, 7, 8) and 10 <= i < 90]
+    assert sum(got[i]["significant"] for i in inside) > 0.6 * len(inside) and not got[100]["significant"]
+    q = table(spark, ["id", "x", "y", "t"], [(i, i % 9, i % 7, i % 5) for i in range(300)])
+    assert {r["p"] is None for r in spatial.moran_local_tested(q, spatial.Band(q, "id", "x", "y", 100.0), "id", "t", rounds=9).collect()} == {False}
+
+
 def test_splits_state_and_models_are_kept(spark, tmp_path):
     t = catalog._model_table(spark, DATA)
     train, test = ml.split(t, "c_custkey")
