@@ -12,16 +12,20 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohorta.operators.cells import finite, nearest_rows, sums_within
+from cohorta.operators.cells import BLOCK, _numbers, finite, nearest_rows, sums_within
 from cohorta.sources.io import kept
 
 # The settings by station density.
 #: (power, max distance, min and max neighbours) by station density: above 5, above 2, else, per km².
 ADAPTIVE_FINE = ((5.0, (2.5, 15_000.0, 4, 8)), (2.0, (2.0, 25_000.0, 3, 10)), (None, (1.5, 50_000.0, 2, 15)))
 ADAPTIVE_COARSE = ((5.0, (1.2, 20_000.0, 3, 6)), (2.0, (1.0, 30_000.0, 3, 8)), (None, (0.8, 60_000.0, 2, 12)))
+#: Tested local Moran statistics: numbers of neighbours whose sums are kept in a row, and points that meet such rows in a task, about.
+BAND, MET = 64, 20_000
 
 
 def grid(spark: SparkSession, x0: float, y0: float, x1: float, y1: float, step: float) -> DataFrame:
@@ -319,35 +323,86 @@ def _quadrants(lag: DataFrame, key: str) -> DataFrame:
     return lag.select(key, F.try_divide(F.col("z") * F.col("lag"), F.lit(m2)).alias("local_i"), quadrant.alias("quadrant"))
 
 
+def _passes(z: np.ndarray, lag: np.ndarray, mean: np.ndarray, slack: float) -> np.ndarray:
+    """Whether drawn means give at least the observed statistic. Equal sums may differ by rounding."""
+    return z * mean >= z * lag - slack
+
+
+def _front(table: pa.Table, key: str, most: int, slack: float) -> pa.Table:
+    """Of one round, told by its points with the smallest hashes: (band, c) of the sums of its first values, BAND by BAND, and
+    (key, above) of the points that a draw without themselves counts otherwise; no rows where it is too short."""
+    z, lag, degree, h = _numbers(table, "z", "lag", "degree", "h")
+    schema = pa.schema([("band", pa.int64()), ("c", pa.list_(pa.float64())), (key, table.schema.field(key).type), ("above", pa.int64())])
+    if len(z) <= most:
+        return schema.empty_table()
+    order = np.lexsort((z, h))[: most + 1]
+    z, lag, degree = z[order], lag[order], degree[order]
+    c = np.append(0.0, np.cumsum(z))
+    own = np.flatnonzero(degree > np.arange(most + 1))
+    k = degree[own]
+    at = z[own], lag[own]
+    change = _passes(*at, (c[k + 1] - at[0]) / k, slack).astype(np.int64) - _passes(*at, c[k] / k, slack)
+    bands = [c[i : min(i + BAND, most + 1)] for i in range(0, most + 1, BAND)]
+    keys = table[key].combine_chunks().take(pa.array(order[own[change != 0]]))
+    sums = pa.table([np.arange(len(bands)), bands, pa.nulls(len(bands), keys.type), pa.nulls(len(bands), pa.int64())], schema=schema)
+    return pa.concat_tables([sums, pa.table([pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), schema.field("c").type), keys, change[change != 0]], schema=schema)])
+
+
+def _count(points: pa.Table, sums: pa.Table, key: str, slack: float) -> pa.Table:
+    """(key, above): how many rounds pass for each point, of a band's sums of all rounds."""
+    z, lag, degree = _numbers(points, "z", "lag", "degree")
+    above = np.zeros(len(z), np.int64)
+    if len(z):
+        c = np.asarray(sums["c"].combine_chunks().flatten()).reshape(len(sums), -1)
+        order = np.argsort(degree, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(degree[order])) + 1):
+            mean = c[:, degree[some[0]] % BAND] / degree[some[0]]
+            for part in np.array_split(some, -(-len(some) * len(mean) // BLOCK)):
+                above[part] = _passes(z[part, None], lag[part, None], mean, slack).sum(axis=1)
+    return pa.table({key: points[key], "above": above})
+
+
 def _tested(lag: DataFrame, key: str, rounds: int, seed: int) -> DataFrame:
     """(key, p) of (key, z, lag, degree): a round is one order of all points by a keyed hash, and a point with k neighbours draws the
-    first k others of it. So all draws are sums from the front of a round, and only as much of it is sorted as the most neighbours need."""
+    first k others of it. So all draws are sums from the front of a round, and only as much of it is sorted as the most neighbours need.
+
+    Points with as many neighbours meet the same sums, so these go to their points and no row is made for a point and round. A
+    point that is itself in its draw is passed over for the next; what that changes is told where the round is sorted.
+    """
     n, most, m2 = lag.agg(F.count(F.lit(1)), F.max("degree"), F.avg(F.col("z") * F.col("z"))).first()
-    need = (most or 0) + 1
-    hashed = lag.select(key, F.coalesce("z", F.lit(0.0)).alias("zr")).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("h", F.xxhash64(F.lit(seed), "round", key))
-    share = (need + 6 * need**0.5 + 30) / max(n, 1)
+    most, slack, kind = most or 0, 1e-9 * (m2 or 0.0), lag.schema[key].dataType
+    spread = lag.select(key, F.coalesce("z", F.lit(0.0)).alias("z"), "lag", F.col("degree").cast("long").alias("degree"))
+    # All points go to each group of rounds, which makes its hashes there: only a few copies of the points are shuffled.
+    groups = min(rounds, 2 * lag.sparkSession.sparkContext.defaultParallelism)
+    copies = spread.withColumn("group", F.explode(F.sequence(F.lit(1), F.lit(groups)))).repartitionByRange(groups, "group")
+    hashed = copies.withColumn("round", F.explode(F.sequence(F.col("group"), F.lit(rounds), F.lit(groups)))).withColumn("h", F.xxhash64(F.lit(seed), "round", key))
+    made = T.StructType([T.StructField("band", T.LongType()), T.StructField("c", T.ArrayType(T.DoubleType())), T.StructField(key, kind), T.StructField("above", T.LongType())])
+    share = (most + 6 * most**0.5 + 40) / max(n, 1)
     while True:
-        front = kept(hashed if share >= 1 else hashed.where(F.col("h") < F.lit(int(-(2**63) + share * 2**64))), "front")
-        held = front.groupBy("round").count().agg(F.count(F.lit(1)), F.min("count")).first()
-        if share >= 1 or (held[0] == rounds and held[1] >= need):
+        front = hashed if share >= 1 else hashed.where(F.col("h") < F.lit(int(-(2**63) + share * 2**64)))
+        drawn = kept(front.groupBy("group", "round").applyInArrow(lambda t: _front(t, key, most, slack), made), "drawn")
+        if share >= 1 or drawn.where("band = 0").count() == rounds:
             break
         share *= 2
-    order = Window.partitionBy("round").orderBy("h", key)
-    drawn = kept(front.select("round", key, F.row_number().over(order).alias("m"), F.sum("zr").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("c")).where(F.col("m") <= need), "drawn")
-    sums = lag.where("degree > 0").select("degree").distinct().withColumn("m", F.explode(F.array(F.col("degree"), F.col("degree") + 1))).join(drawn.select("round", "m", "c"), "m")
-    by_round = lambda more: F.sort_array(F.collect_list(F.when(F.col("m") == F.col("degree") + more, F.struct("round", "c"))))
-    sums = sums.groupBy("degree").agg(by_round(0).alias("_first"), by_round(1).alias("_next"))
-    own = drawn.where(F.col(key).isNotNull()).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("round", "m"))).alias("_own"))
-    z, k = F.col("z"), F.col("degree")
-    # Oneself is passed over for the next. Equal sums may differ by rounding.
-    other = lambda r: F.when(F.try_element_at("_own", r) <= k, F.element_at("_next", r)["c"] - z).otherwise(F.element_at("_first", r)["c"]) / k
-    above = F.size(F.filter(F.sequence(F.lit(1), F.lit(rounds)), lambda r: z * other(r) >= z * F.col("lag") - F.lit(1e-9 * (m2 or 0.0))))
+    points = spread.where("degree > 0").withColumn("band", F.floor(F.col("degree") / BAND))
+    # Bands with more than MET points, at most one for each MET points, are dealt out in slices.
+    slices = F.broadcast(points.groupBy("band").count().where(F.col("count") > MET).select("band", F.ceil(F.col("count") / MET).alias("_n")))
+    dealt = points.join(slices, "band", "left").withColumn("slice", F.coalesce(F.pmod(F.xxhash64(key), "_n"), F.lit(0))).drop("_n")
+    sums = drawn.where(F.col("band").isNotNull()).select("band", "c").join(slices, "band", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))).drop("_n")
+    met = T.StructType([T.StructField(key, kind), T.StructField("above", T.LongType())])
+    counts = dealt.groupBy("band", "slice").cogroup(sums.groupBy("band", "slice")).applyInArrow(lambda a, b: _count(a, b, key, slack), met)
+    above = F.sum("above")
     p = (F.least(above, F.lit(rounds) - above) + 1) / F.lit(rounds + 1.0)
-    return lag.where("degree > 0").join(sums, "degree").join(own, key, "left").select(key, p.alias("p"))
+    return counts.union(drawn.where(F.col("band").isNull()).select(key, "above")).groupBy(key).agg(p.alias("p"))
+
+
+def _significant(tested: DataFrame, level: float) -> DataFrame:
+    return tested.withColumn("p", F.when(F.col("local_i").isNotNull(), F.col("p"))).withColumn("significant", F.coalesce(F.col("p") < level, F.lit(False)))
 
 
-def moran_local_tested(points: DataFrame, weights: DataFrame | Band, key: str, value: str, rounds: int = 99, seed: int = 1, level: float = 0.05) -> DataFrame:
+def moran_local_tested(points: DataFrame, weights: DataFrame | Band, key: str, value: str, rounds: int = 999, seed: int = 1, level: float = 0.05) -> DataFrame:
     """As :func:`moran_local`, with ``p`` and ``significant``: neighbours' values are drawn anew, by a keyed hash, from all other points.
+    The least ``p`` is 1 / (rounds + 1), so with 19 rounds or fewer none is below 0.05. NULL without neighbours or without a statistic.
 
     With a band, a round draws without replacement and in one order for all points (as esda does), so no pair is listed. With
     listed weights each round gives every neighbour of a point the value at a hashed place among the points, so a round is
@@ -356,7 +411,7 @@ def moran_local_tested(points: DataFrame, weights: DataFrame | Band, key: str, v
     if isinstance(weights, Band):
         if weights.summable(points, key):
             lag = kept(_lag(points, weights, key, value), "lag")
-            return _quadrants(lag, key).join(_tested(lag, key, rounds, seed), key, "left").withColumn("significant", F.coalesce(F.col("p") < level, F.lit(False)))
+            return _significant(_quadrants(lag, key).join(_tested(lag, key, rounds, seed), key, "left"), level)
         weights = weights.links()
     local = moran_local(points, weights, key, value)
     lag = spatial_lag(points, weights, key, value)
@@ -369,7 +424,7 @@ def moran_local_tested(points: DataFrame, weights: DataFrame | Band, key: str, v
     own = numbered.select(F.col(key).alias("i"), "z", "lag")
     count = sums.join(own, "i").groupBy("i").agg(F.count_if(F.col("z") * F.col("lr") >= F.col("z") * F.col("lag")).alias("k"))
     p = (F.least(F.col("k"), F.lit(rounds) - F.col("k")) + 1) / F.lit(rounds + 1.0)
-    return local.join(count.select(F.col("i").alias(key), p.alias("p")), key, "left").withColumn("significant", F.coalesce(F.col("p") < level, F.lit(False)))
+    return _significant(local.join(count.select(F.col("i").alias(key), p.alias("p")), key, "left"), level)
 
 
 def strongest_cluster(df: DataFrame, cluster: str, z: str) -> DataFrame:

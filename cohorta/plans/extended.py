@@ -253,4 +253,4 @@ def stored_model_importances(spark, d):
 @_query()
 def moran_local_tested(spark, d):
     p = _points(spark, d)
-    return spatial.moran_local_tested(p, spatial.Band(p, "id", "x", "y", 40.0), "id", "t", rounds=19)
+    return spatial.moran_local_tested(p, spatial.Band(p, "id", "x", "y", 40.0), "id", "t")

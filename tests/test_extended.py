@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohorta.functions import exprs
 from cohorta.operators import cells, matching, ml, reduce as red, spatial, stats
-from cohorta.plans import catalog
+from cohorta.plans import catalog, extended
 from cohorta.sources import io
 
 DATA = "/root/testdata/sf0.001"
@@ -265,6 +265,51 @@ def test_tested_local_moran_makes_no_pairs(spark, monkeypatch):
     assert {r["p"] is None for r in spatial.moran_local_tested(q, spatial.Band(q, "id", "x", "y", 100.0), "id", "t", rounds=9).collect()} == {False}
 
 
+def drawn(lag, rounds):
+    """p of each key of (id, z, lag, degree), draw by draw; NULL without neighbours or without a value."""
+    rows = lag.collect()
+    hashed = lag.select("id").distinct().withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).select("round", "id", F.xxhash64(F.lit(1), "round", "id"))
+    hashes = {(r, i): h for r, i, h in hashed.collect()}
+    z = np.array([r["z"] or 0.0 for r in rows])
+    slack, above = 1e-9 * np.mean([r["z"] ** 2 for r in rows if r["z"] is not None]), np.zeros(len(rows), int)
+    for n in range(1, rounds + 1):
+        order = np.lexsort((z, np.array([hashes[n, r["id"]] for r in rows])))
+        for i, r in enumerate(rows):
+            if r["degree"]:
+                others = order[: r["degree"] + 1]
+                above[i] += z[i] * z[others[others != i][: r["degree"]]].mean() >= z[i] * r["lag"] - slack
+    return {r["id"]: (min(a, rounds - a) + 1) / (rounds + 1) if r["degree"] and r["z"] is not None else None for r, a in zip(rows, above)}
+
+
+def test_registered_local_moran_is_tested_in_999_rounds(spark):
+    p = catalog._points(spark, DATA)
+    want = drawn(spatial._lag(p, spatial.Band(p, "id", "x", "y", 40.0), "id", "t"), 999)
+    got = {r["id"]: r for r in extended.moran_local_tested(spark, DATA).collect()}
+    assert len(got) == p.count() and {k: r["p"] for k, r in got.items()} == pytest.approx(want)
+    assert {r["significant"] for r in got.values()} == {True, False} and all(r["significant"] == ((r["p"] or 1) < 0.05) for r in got.values())
+
+
+@pytest.mark.parametrize("met", [20_000, 40])
+def test_rounds_in_bands_and_slices(spark, monkeypatch, met):
+    """More neighbours than a band holds, bands in slices, rows without a key or a value."""
+    monkeypatch.setattr(spatial, "MET", met)
+    rows = [(i, x, y, None if i % 50 == 3 else v) for i, x, y, v in crowded(7, 300)] + [(None, 0.0, 0.0, float(i % 7)) for i in range(2500)]
+    p = spark.createDataFrame(rows, "id long, x double, y double, v double")
+    band = spatial.Band(p, "id", "x", "y", 5.0)
+    lag = spatial._lag(p, band, "id", "v")
+    assert lag.agg(F.max("degree")).first()[0] > 2 * spatial.BAND
+    want = drawn(lag, 19)
+    got = {r["id"]: r for r in spatial.moran_local_tested(p, band, "id", "v", rounds=19, level=0.06).where("id IS NOT NULL").collect()}
+    assert {k: r["p"] for k, r in got.items()} == pytest.approx({k: v for k, v in want.items() if k is not None})
+    assert any(r["significant"] for r in got.values()) and not any(got[i]["significant"] for i in range(3, 300, 50))
+
+
+def test_constant_values_have_no_p(spark):
+    p = table(spark, ["id", "x", "y", "t"], [(i, i, 0, 2) for i in range(9)])
+    for w in (spatial.Band(p, "id", "x", "y", 1.5), spatial.distance_band(p, "id", "x", "y", 1.5)):
+        assert {(r["p"], r["significant"]) for r in spatial.moran_local_tested(p, w, "id", "t", rounds=39).collect()} == {(None, False)}
+
+
 def test_splits_state_and_models_are_kept(spark, tmp_path):
     t = catalog._model_table(spark, DATA)
     train, test = ml.split(t, "c_custkey")
